@@ -1,0 +1,4 @@
+"""The diary is one snapshot, so there is no streaming job here.
+
+``diarist.plans.clean.intake`` is stateless and also takes a streaming DataFrame.
+"""
