@@ -37,9 +37,21 @@ def saved(spark: SparkSession, sf: str, name: str, build: Callable[[], DataFrame
     return spark.read.parquet(path)
 
 
+_KEPT: dict[tuple[str, str, str], object] = {}
+
+
+def kept(spark: SparkSession, sf: str, name: str, build: Callable):
+    """A training result, made on first use in this session. Its tables are in the scratch folder."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _KEPT:
+        _KEPT[key] = build()
+    return _KEPT[key]
+
+
 def forget() -> None:
-    """Make the next query write its inputs again."""
+    """Make the next query write its inputs and train its models again."""
     _SAVED.clear()
+    _KEPT.clear()
 
 
 def raw(spark: SparkSession, sf: str) -> DataFrame:

@@ -83,9 +83,9 @@ def metric_median(long: DataFrame, value: str = "value") -> DataFrame:
 
 
 def group_mean_column(long: DataFrame, value: str = "value", key: str = "metric") -> DataFrame:
-    """The mean of each metric beside its rows. The few means are aggregated, then joined."""
+    """The mean of each metric beside its rows. One row per metric is broadcast."""
     means = long.groupBy(key).agg(F.bround(F.avg(value), 6).alias("mean"))
-    return long.join(means, key, "left")
+    return long.join(F.broadcast(means), key, "left")
 
 
 # The lowest acceptable value of each metric.

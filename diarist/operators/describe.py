@@ -225,13 +225,16 @@ def histogram(
 
 
 def box_stats(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
-    """Quartiles, and whiskers at the last values within 1.5 interquartile ranges of the box."""
+    """Quartiles, and whiskers at the last values within 1.5 interquartile ranges of the box.
+
+    ``keys`` name few groups, such as models: their boxes are broadcast.
+    """
     keys = list(keys)
     box = quantiles(df, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, keys)
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     x = F.col(value)
     inside = (x >= F.col("q1") - reach) & (x <= F.col("q3") + reach)
-    rows = df.filter(x.isNotNull()).join(box, keys)
+    rows = df.filter(x.isNotNull()).join(F.broadcast(box), keys)
     return rows.groupBy(*keys, "q1", "median", "q3").agg(
         F.min(F.when(inside, x)).alias("whisker_low"), F.max(F.when(inside, x)).alias("whisker_high"),
         F.count_if(~inside).alias("outliers"),

@@ -129,17 +129,21 @@ def neighbours(
     counts: dict[str, Column],
     number: str,
     hot: DataFrame | None = None,
+    hot_rows: DataFrame | None = None,
     limit: int = HOT_ROWS,
 ) -> DataFrame:
     """Number the rows of each group and add neighbours' columns and group totals.
 
     ``previous`` and ``following`` map a new column to the column taken from the row before or
     after; ``counts`` maps a new column to a value summed over the group. ``order`` has no ties
-    inside a group. ``hot`` may name the hot keys if they are known more cheaply than from ``df``.
+    inside a group. ``hot`` may name the hot keys, and ``hot_rows`` be their rows, if both are found more
+    cheaply than from ``df``.
     """
     keys = list(keys)
     hot = hot_keys(df, keys, limit) if hot is None else hot
-    df = df.withColumns({f"_v_{n}": v for n, v in counts.items()})
+    hot_rows = df.join(F.broadcast(hot), keys, "left_semi") if hot_rows is None else hot_rows
+    sums = {f"_v_{n}": v for n, v in counts.items()}
+    df, hot_rows = df.withColumns(sums), hot_rows.withColumns(sums)
     rows, parts = mark_parts(df, keys, [digit], hot)
     part = parts[0]
 
@@ -154,14 +158,13 @@ def neighbours(
     })
 
     # One row per part of a hot group: its size, sums, and edge rows.
-    hot_df = df.join(F.broadcast(hot), keys, "inner").withColumn(part, digit)
     edge = lambda names: F.struct(*[F.col(c).alias(f"e_{n}") for n, c in names.items()])
     edges = []
     if previous:
         edges.append(F.max_by(edge(previous), F.col(order)).alias("_lastrow"))
     if following:
         edges.append(F.min_by(edge(following), F.col(order)).alias("_firstrow"))
-    per_part = hot_df.groupBy(*keys, part).agg(
+    per_part = hot_rows.withColumn(part, digit).groupBy(*keys, part).agg(
         F.count("*").alias("_n"), *[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in counts], *edges
     )
     across = Window.partitionBy(*keys)

@@ -23,8 +23,7 @@ def draw_ranks(
 ) -> DataFrame:
     """Add ``draw_rank`` (1..n in draw order) and ``draw_n`` within each group, or the table."""
     df = df.withColumn("_draw", draw_key(seed, row))
-    digits = [hex_digit(F.col("_draw"), 1), hex_digit(F.col("_draw"), 5)]
-    out = running_total(df, keys, digits, ["_draw", row], {"_one": F.lit(1)}, limit)
+    out = running_total(df, keys, [hex_digit(F.col("_draw"), 1)], ["_draw", row], {"_one": F.lit(1)}, limit)
     return out.withColumns({
         "draw_rank": F.col("_one_before") + 1, "draw_n": F.col("_one_total"),
     }).drop("_draw", "_one_before", "_one_total")

@@ -20,6 +20,7 @@ def time_slot(time: str = TIME, seconds: int = SLOT_SECONDS) -> Column:
 def sequence_features(
     df: DataFrame,
     hot: DataFrame | None = None,
+    hot_rows: DataFrame | None = None,
     limit: int = HOT_ROWS,
     key: str = KEY,
     time: str = TIME,
@@ -34,7 +35,7 @@ def sequence_features(
         previous={"_prev_time": time, "_prev_outcome": outcome},
         following={"_next_outcome": outcome},
         counts={"n_entries": F.lit(1), "n_lapses": F.when(lapse, 1).otherwise(0)},
-        number="event_nr", hot=hot, limit=limit,
+        number="event_nr", hot=hot, hot_rows=hot_rows, limit=limit,
     )
     after_lapse = (F.col(time) > F.col("_prev_time")) & (F.col("_prev_outcome") == positive)
     return out.withColumns({

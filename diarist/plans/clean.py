@@ -55,11 +55,14 @@ def clean_diary(raw: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The clean diary with ``entry_ordinal``, ``next_event_lapse``, ``n_entries``, ``n_lapses``.
 
     Hot accounts are found before duplicates go: that count can only be larger, and it needs no
-    shuffle of rows.
+    shuffle of rows. Their own pass starts from their rows only.
     """
     entries = intake(raw, rules)
-    unique = filters.dedup_entries(entries)
-    df = sequence_features(unique, hot_keys(entries, [KEY], rules.hot_rows))
+    hot = hot_keys(entries, [KEY], rules.hot_rows)
+    hot_entries = entries.join(F.broadcast(hot), KEY, "left_semi")
+    df = sequence_features(
+        filters.dedup_entries(entries), hot, filters.dedup_entries(hot_entries), rules.hot_rows
+    )
     df = calendar_fields(df).withColumn(
         "days_since_qd", days_since(F.col(TIME), F.col("adjusted_quit_date"))
     )
