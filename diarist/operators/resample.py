@@ -71,30 +71,28 @@ def upsample(
 
     The rows of the largest class number the draws, so nothing is generated on the driver.
     """
-    group = list(keys) or ["_all"]
-    base = df if keys else df.withColumn("_all", F.lit(1))
-    ranked = draw_ranks(base, group + [outcome], f"{seed}:up", row)
-    sizes = base.groupBy(*group, outcome).agg(F.count("*").alias("_n"))
-    # The largest class of each group; of equal ones the first by name.
-    top = sizes.groupBy(*group).agg(
-        F.max("_n").alias("_most"),
-        F.max_by(F.col(outcome), F.struct(F.col("_n"), F.lit(0) - F.ascii(outcome))).alias("_top"),
+    keys = list(keys)
+    ranked = draw_ranks(df, keys + [outcome], f"{seed}:up", row)
+    # One entry per class: a short list beside each row, from the group or for the whole table.
+    sizes = df.groupBy(*keys, F.col(outcome).alias("_class")).agg(F.count("*").alias("_n"))
+    listed = F.sort_array(F.collect_list(F.struct("_class", "_n")))
+    if keys:
+        ranked = ranked.join(sizes.groupBy(*keys).agg(listed.alias("_classes")), keys)
+    else:
+        ranked = ranked.withColumn("_classes", sizes.agg(listed).scalar())
+    most = F.array_max(F.transform("_classes", lambda c: c["_n"]))
+    ranked = ranked.withColumn("_most", most)
+    largest = F.filter("_classes", lambda c: c["_n"] == F.col("_most"))  # by name: the first draws
+    smaller = F.filter("_classes", lambda c: c["_n"] < F.col("_most"))
+
+    kept = ranked.filter(F.col("draw_n") == F.col("_most")).withColumn("draw", F.col("draw_rank"))
+    draws = ranked.filter(F.col(outcome) == F.get(largest, F.lit(0))["_class"]).select(
+        *keys, F.col("draw_rank").alias("draw"), F.explode(smaller).alias("c")
     )
-    small = sizes.join(top, group).filter(F.col("_n") < F.col("_most"))
-    small = small.select(*group, F.col(outcome).alias("_class"), "_n", "_top")
-    if not keys:  # one row per smaller class
-        small = F.broadcast(small)
-    draws = ranked.select(*group, F.col(outcome).alias("_top"), F.col("draw_rank").alias("draw"))
-    draws = draws.join(small, group + ["_top"])
-    text = F.concat_ws(":", F.lit(f"{seed}:pick"), *group, "_class", F.col("draw").cast("string"))
-    if not keys:
-        text = F.concat_ws(":", F.lit(f"{seed}:pick"), "_class", F.col("draw").cast("string"))
-    pick = (hex_digit(F.md5(text), 1, 12) % F.col("_n") + 1).alias("draw_rank")
-    picks = draws.select(*group, F.col("_class").alias(outcome), "draw", pick)
-    redrawn = ranked.join(picks, group + [outcome, "draw_rank"])
-    kept = ranked.join(
-        small.select(*group, F.col("_class").alias(outcome)), group + [outcome], "left_anti"
-    ).withColumn("draw", F.col("draw_rank"))
+    text = F.concat_ws(":", F.lit(f"{seed}:pick"), *keys, F.col("c._class"), F.col("draw").cast("string"))
+    pick = (hex_digit(F.md5(text), 1, 12) % F.col("c._n") + 1).alias("draw_rank")
+    picks = draws.select(*keys, F.col("c._class").alias(outcome), "draw", pick)
+    redrawn = ranked.join(picks, keys + [outcome, "draw_rank"])
     columns = [*df.columns, "draw"]
     return kept.select(*columns).unionByName(redrawn.select(*columns))
 
