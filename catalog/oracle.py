@@ -394,6 +394,15 @@ SQL["mean_sd"] = f"""SELECT round_even(avg(cigs_per_day), 6) AS mean, round_even
  FROM {_FIRST}"""
 SQL["median_range"] = """SELECT round_even(median(n), 6) AS median, min(n) AS min, max(n) AS max
  FROM (SELECT count(*) AS n FROM clean GROUP BY account_id)"""
+_SAMPLES = """(SELECT * FROM clean, (SELECT unnest([1, 10, 20])::INT AS at_least)
+ WHERE event_nr = 1 AND n_entries >= at_least)"""
+SQL["sample_characteristics"] = f"""SELECT at_least, count(*) AS accounts, CAST(sum(n_entries) AS BIGINT) AS entries,
+ round_even(median(n_entries), 6) AS median_entries, min(n_entries) AS min_entries, max(n_entries) AS max_entries,
+ round_even(avg(cigs_per_day), 6) AS mean_cigs, round_even(stddev_samp(cigs_per_day), 6) AS sd_cigs
+ FROM {_SAMPLES} GROUP BY at_least"""
+SQL["sample_levels"] = f"""SELECT at_least, time_to_first_cig, n,
+ {share("n", "sum(n) OVER (PARTITION BY at_least)")} AS percent
+ FROM (SELECT at_least, time_to_first_cig, count(*) AS n FROM {_SAMPLES} GROUP BY at_least, time_to_first_cig)"""
 SQL["outcome_counts_wide"] = """SELECT account_id, nullif(count(*) FILTER (craving_did_smoke = 'false'), 0) AS n_false,
  nullif(count(*) FILTER (craving_did_smoke = 'true'), 0) AS n_true FROM c20 GROUP BY account_id"""
 SQL["outcome_share"] = tabulate("c20", "craving_did_smoke").replace("AS percent", "AS prop")

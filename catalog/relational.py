@@ -341,6 +341,16 @@ def median_range(spark, sf):
     return describe.median_range(describe.entries_per_account(inputs.clean(spark, sf)), "count")
 
 
+@query
+def sample_characteristics(spark, sf):
+    return describe.sample_characteristics(describe.account_baselines(inputs.clean(spark, sf)))
+
+
+@query
+def sample_levels(spark, sf):
+    return describe.sample_levels(describe.account_baselines(inputs.clean(spark, sf)))
+
+
 @query
 def outcome_counts_wide(spark, sf):
     return describe.outcome_counts_wide(inputs.sample(spark, sf))

@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from diarist.functions.labels import name_suffix, sentence_case
 from diarist.operators.hot import HOT_ROWS, number_digits, running_total
 from diarist.operators.sequence import last_entry
-from diarist.schema import KEY, LEVELS, OUTCOME
+from diarist.schema import KEY, LEVELS, OUTCOME, TIME
 
 
 def ratio(part, whole, digits: int = 6) -> Column:
@@ -97,6 +97,43 @@ def median_range(df: DataFrame, column: str, approximate: bool = False) -> DataF
     )
 
 
+def account_baselines(df: DataFrame, key: str = KEY, time: str = TIME) -> DataFrame:
+    """Entries per account, and what its first entry says of the time before quitting."""
+    return df.groupBy(key).agg(
+        F.count("*").alias("n"),
+        F.min_by("cigs_per_day", time).alias("cigs_per_day"),
+        F.min_by("time_to_first_cig", time).alias("time_to_first_cig"),
+    )
+
+
+def by_sample(baselines: DataFrame, at_least: Sequence[int] = (1, 10, 20)) -> DataFrame:
+    """Accounts once for each sample they belong to, named by its least number of entries."""
+    sizes = F.explode(F.array(*[F.lit(n) for n in at_least])).alias("at_least")
+    return baselines.select("*", sizes).filter(F.col("n") >= F.col("at_least"))
+
+
+def sample_characteristics(baselines: DataFrame) -> DataFrame:
+    """Accounts, entries per account and cigarettes per day of each sample.
+
+    The entry counts have few distinct values (their sum is the number of entries), so the exact
+    median stays small.
+    """
+    return by_sample(baselines).groupBy("at_least").agg(
+        F.count("*").alias("accounts"), F.sum("n").alias("entries"),
+        F.bround(F.median("n"), 6).alias("median_entries"),
+        F.min("n").alias("min_entries"), F.max("n").alias("max_entries"),
+        F.bround(F.avg("cigs_per_day"), 6).alias("mean_cigs"),
+        F.bround(F.stddev_samp("cigs_per_day"), 6).alias("sd_cigs"),
+    )
+
+
+def sample_levels(baselines: DataFrame, column: str = "time_to_first_cig") -> DataFrame:
+    """Level, n and share of a baseline category within each sample."""
+    counts = by_sample(baselines).groupBy("at_least", column).agg(F.count("*").alias("n"))
+    total = F.sum("n").over(Window.partitionBy("at_least"))  # one row per level
+    return counts.withColumn("percent", ratio(F.col("n"), total))
+
+
 def outcome_counts_wide(df: DataFrame, key: str = KEY, outcome: str = OUTCOME) -> DataFrame:
     """Non-lapses and lapses per account; null where an account has none."""
     seen = tabulate_two(df, key, outcome, LEVELS[OUTCOME])

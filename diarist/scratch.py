@@ -7,11 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path under ``spark.checkpoint.dir``; a temporary folder only where that is unset."""
+    """A new path under ``spark.checkpoint.dir``; on one machine, a temporary folder if that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="diarist-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/diarist-{name}-{uuid.uuid4().hex}"
