@@ -3,10 +3,12 @@
 They run over whole tables with fewer folds, parameter sets and trees than the defaults.
 """
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from catalog import inputs
-from diarist.operators import compare
+from diarist.operators import compare, evaluate
 from diarist.plans import holdout, individual, pooled
 from diarist.plans.clean import cohort
 from diarist.plans.pooled import Options
@@ -22,18 +24,20 @@ def query(fn):
     return fn
 
 
-def _pooled(spark, sf):
-    """All four algorithms, tuned and fitted once per session."""
-    return inputs.kept(spark, sf, "pooled", lambda: pooled.pooled_models(inputs.sample(spark, sf), options=QUICK))
+def _only(model, **changes):
+    return replace(QUICK, models=(model,), **changes)
 
 
-def _only(*models):
-    return Options(**{**QUICK.__dict__, "models": models})
+def _pooled(spark, sf, model):
+    """One algorithm, tuned and fitted once per session."""
+    return inputs.kept(
+        spark, sf, model, lambda: pooled.pooled_models(inputs.sample(spark, sf), options=_only(model))
+    )
 
 
 def _single(spark, sf, model):
     """Test metrics of one tuned algorithm."""
-    return _pooled(spark, sf).metrics().filter(F.col("model") == model)
+    return _pooled(spark, sf, model).metrics()
 
 
 @query
@@ -59,7 +63,7 @@ def fit_boosted(spark, sf):
 @query
 def tune(spark, sf):
     """Mean metrics of every parameter set, and whether it was chosen."""
-    result = _pooled(spark, sf)
+    result = _pooled(spark, sf, "elnet")
     chosen = result.params.filter("name = 'param_id'").select("model", F.col("value").cast("int").alias("best"))
     return result.tuning.join(chosen, "model").withColumn("chosen", F.col("param_id") == F.col("best")).drop("best")
 
@@ -67,25 +71,26 @@ def tune(spark, sf):
 @query
 def final_fit(spark, sf):
     """Test rows with the score of the tuned model."""
-    return _pooled(spark, sf).predictions
+    return _pooled(spark, sf, "elnet").predictions
 
 
 @query
 def test_auc(spark, sf):
     """AUC and interval on the test rows, per algorithm."""
-    return _pooled(spark, sf).auc()
+    both = [_pooled(spark, sf, m).predictions for m in ("elnet", "rf")]
+    return evaluate.auc_ci(both[0].unionByName(both[1]), ["model"])
 
 
 @query
 def model_importance(spark, sf):
-    result = _pooled(spark, sf)
+    result = _pooled(spark, sf, "elnet")
     rows = pooled.model_importance(result.models["elnet"], "elnet", result.design)
     return compare.top_features(rows, keys=["model"])
 
 
 @query
 def permutation_importance(spark, sf):
-    result = _pooled(spark, sf)
+    result = _pooled(spark, sf, "rf")
     rows = pooled.permutation_importance(result.models["rf"], "rf", result.test, result.design)
     return compare.top_features(rows, keys=["model"])
 
@@ -93,7 +98,9 @@ def permutation_importance(spark, sf):
 @query
 def analysis_variants(spark, sf):
     """Curves of the main analysis and its three variants."""
-    return pooled.analysis_variants(inputs.clean(spark, sf), _only("elnet"))
+    return pooled.analysis_variants(
+        inputs.clean(spark, sf), _only("elnet", folds=2, sizes={"elnet": 1})
+    )
 
 
 def _mixed(spark, sf):

@@ -119,8 +119,15 @@ def number_digits(value: Column) -> list[Column]:
     ]
 
 
+def split_hot(df: DataFrame, keys: Sequence[str], hot: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of the groups that one task can hold, and rows of the hot ones."""
+    flag = F.broadcast(hot)
+    return df.join(flag, list(keys), "left_anti"), df.join(flag, list(keys), "left_semi")
+
+
 def neighbours(
-    df: DataFrame,
+    ordinary: DataFrame,
+    hot_rows: DataFrame,
     keys: Sequence[str],
     order: str,
     digit: Column,
@@ -128,63 +135,56 @@ def neighbours(
     following: dict[str, str],
     counts: dict[str, Column],
     number: str,
-    hot: DataFrame | None = None,
-    hot_rows: DataFrame | None = None,
-    limit: int = HOT_ROWS,
 ) -> DataFrame:
     """Number the rows of each group and add neighbours' columns and group totals.
 
     ``previous`` and ``following`` map a new column to the column taken from the row before or
     after; ``counts`` maps a new column to a value summed over the group. ``order`` has no ties
-    inside a group. ``hot`` may name the hot keys, and ``hot_rows`` be their rows, if both are found more
-    cheaply than from ``df``.
+    inside a group. The two inputs come from ``split_hot``.
     """
     keys = list(keys)
-    hot = hot_keys(df, keys, limit) if hot is None else hot
-    hot_rows = df.join(F.broadcast(hot), keys, "left_semi") if hot_rows is None else hot_rows
-    sums = {f"_v_{n}": v for n, v in counts.items()}
-    df, hot_rows = df.withColumns(sums), hot_rows.withColumns(sums)
-    rows, parts = mark_parts(df, keys, [digit], hot)
-    part = parts[0]
-
-    inside = Window.partitionBy(*keys, part)
-    ordered = inside.orderBy(order)
-    rows = rows.withColumns({
-        "_nr": F.row_number().over(ordered),
-        **{f"_p_{n}": F.lag(c).over(ordered) for n, c in previous.items()},
-        **{f"_f_{n}": F.lead(c).over(ordered) for n, c in following.items()},
-        "_last": F.lead(F.lit(1)).over(ordered).isNull(),
-        **{f"_c_{n}": F.sum(f"_v_{n}").over(inside) for n in counts},
-    })
 
-    # One row per part of a hot group: its size, sums, and edge rows.
+    def windows(rows: DataFrame, within: list[str]) -> DataFrame:
+        inside = Window.partitionBy(*within)
+        ordered = inside.orderBy(order)
+        return rows.withColumns({
+            number: F.row_number().over(ordered).cast("bigint"),
+            **{n: F.lag(c).over(ordered) for n, c in previous.items()},
+            **{n: F.lead(c).over(ordered) for n, c in following.items()},
+            **{n: F.sum(v).over(inside) for n, v in counts.items()},
+        })
+
+    # Inside (group, part), marking the rows whose neighbour is in another part.
+    cut = hot_rows.withColumn("_d0", digit)
+    ordered = Window.partitionBy(*keys, "_d0").orderBy(order)
+    parts = windows(cut, keys + ["_d0"]).withColumn("_last", F.lead(F.lit(1)).over(ordered).isNull())
+
+    # One row per part: its size, its sums, and its first and last row.
     edge = lambda names: F.struct(*[F.col(c).alias(f"e_{n}") for n, c in names.items()])
     edges = []
     if previous:
-        edges.append(F.max_by(edge(previous), F.col(order)).alias("_lastrow"))
+        edges.append(F.max_by(edge(previous), F.col(order)).alias("_before"))
     if following:
-        edges.append(F.min_by(edge(following), F.col(order)).alias("_firstrow"))
-    per_part = hot_rows.withColumn(part, digit).groupBy(*keys, part).agg(
-        F.count("*").alias("_n"), *[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in counts], *edges
+        edges.append(F.min_by(edge(following), F.col(order)).alias("_after"))
+    per_part = cut.groupBy(*keys, "_d0").agg(
+        F.count("*").alias("_n"), *[F.sum(v).alias(f"_s_{n}") for n, v in counts.items()], *edges
     )
     across = Window.partitionBy(*keys)
-    along = across.orderBy(part)
+    along = across.orderBy("_d0")
     carry = per_part.select(
-        *keys, part,
-        F.coalesce(
-            F.sum("_n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-        ).alias("_n_before"),
-        *([F.lag("_lastrow").over(along).alias("_lastrow")] if previous else []),
-        *([F.lead("_firstrow").over(along).alias("_firstrow")] if following else []),
+        *keys, "_d0",
+        F.sum("_n").over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("_n_before"),
+        *([F.lag("_before").over(along).alias("_before")] if previous else []),
+        *([F.lead("_after").over(along).alias("_after")] if following else []),
         *[F.sum(f"_s_{n}").over(across).alias(f"_s_{n}") for n in counts],
     )
-    rows = rows.join(carry, keys + [part], "left")
-    result = {number: F.col("_nr") + F.coalesce(F.col("_n_before"), F.lit(0))}
-    for n in previous:
-        result[n] = F.when(F.col("_nr") == 1, F.col(f"_lastrow.e_{n}")).otherwise(F.col(f"_p_{n}"))
-    for n in following:
-        result[n] = F.when(F.col("_last"), F.col(f"_firstrow.e_{n}")).otherwise(F.col(f"_f_{n}"))
-    for n in counts:
-        result[n] = F.coalesce(F.col(f"_s_{n}"), F.col(f"_c_{n}"))
-    keep = [c for c in df.columns if not c.startswith("_v_")]
-    return rows.withColumns(result).select(*keep, *result)
+    parts = parts.join(carry, keys + ["_d0"])
+    first = F.col(number) == 1
+    parts = parts.withColumns({
+        **{n: F.when(first, F.col(f"_before.e_{n}")).otherwise(F.col(n)) for n in previous},
+        **{n: F.when(F.col("_last"), F.col(f"_after.e_{n}")).otherwise(F.col(n)) for n in following},
+        **{n: F.col(f"_s_{n}") for n in counts},
+        number: F.col(number) + F.coalesce(F.col("_n_before"), F.lit(0)),
+    })
+    whole = windows(ordinary, keys)
+    return whole.unionByName(parts.select(*whole.columns))

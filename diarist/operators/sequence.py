@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from diarist.functions.times import time_diff
 from diarist.operators.filters import first_per_group
-from diarist.operators.hot import HOT_ROWS, neighbours
+from diarist.operators.hot import HOT_ROWS, hot_keys, neighbours, split_hot
 from diarist.schema import KEY, ORDINAL, OUTCOME, TIME
 
 SLOT_SECONDS = 3600  # a hot account is cut into one part per hour
@@ -19,7 +19,6 @@ def time_slot(time: str = TIME, seconds: int = SLOT_SECONDS) -> Column:
 
 def sequence_features(
     df: DataFrame,
-    hot: DataFrame | None = None,
     hot_rows: DataFrame | None = None,
     limit: int = HOT_ROWS,
     key: str = KEY,
@@ -28,14 +27,18 @@ def sequence_features(
     positive: str = "true",
 ) -> DataFrame:
     """Add ``event_nr``, ``prior_event_lapse``, ``mins_since_prev_rep``, ``next_event_lapse`` and
-    the account totals ``n_entries`` and ``n_lapses``, in one pass over the accounts."""
-    lapse = F.col(outcome) == positive
+    the account totals ``n_entries`` and ``n_lapses``, in one pass over the accounts.
+
+    Hot accounts are found here, unless their entries come apart as ``hot_rows``.
+    """
+    if hot_rows is None:
+        df, hot_rows = split_hot(df, [key], hot_keys(df, [key], limit))
     out = neighbours(
-        df, [key], time, time_slot(time),
+        df, hot_rows, [key], time, time_slot(time),
         previous={"_prev_time": time, "_prev_outcome": outcome},
         following={"_next_outcome": outcome},
-        counts={"n_entries": F.lit(1), "n_lapses": F.when(lapse, 1).otherwise(0)},
-        number="event_nr", hot=hot, hot_rows=hot_rows, limit=limit,
+        counts={"n_entries": F.lit(1), "n_lapses": F.when(F.col(outcome) == positive, 1).otherwise(0)},
+        number="event_nr",
     )
     after_lapse = (F.col(time) > F.col("_prev_time")) & (F.col("_prev_outcome") == positive)
     return out.withColumns({

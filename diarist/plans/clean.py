@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from diarist.functions.times import apply_offset, days_since, time_of_day, weekday_label
 from diarist.operators import filters
-from diarist.operators.hot import HOT_ROWS, hot_keys
+from diarist.operators.hot import HOT_ROWS, hot_keys, split_hot
 from diarist.operators.sequence import sequence_features
 from diarist.schema import CLEAN_COLUMNS, KEY, ORDINAL, OUTCOME, TIME
 from diarist.sources.tables import parse_times
@@ -54,14 +54,15 @@ def calendar_fields(df: DataFrame, time: str = TIME) -> DataFrame:
 def clean_diary(raw: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The clean diary with ``entry_ordinal``, ``next_event_lapse``, ``n_entries``, ``n_lapses``.
 
-    Hot accounts are found before duplicates go: that count can only be larger, and it needs no
-    shuffle of rows. Their own pass starts from their rows only.
+    Entries of an account that one task can hold are shuffled once, by account, for duplicates
+    and sequence features alike. Hot accounts go apart: there duplicates are cut in the map tasks,
+    and the sequence runs over parts of the account. They are found by counting raw entries,
+    which reads one column and can only count more.
     """
-    entries = intake(raw, rules)
-    hot = hot_keys(entries, [KEY], rules.hot_rows)
-    hot_entries = entries.join(F.broadcast(hot), KEY, "left_semi")
+    hot = hot_keys(raw, [KEY], rules.hot_rows)
+    ordinary, large = split_hot(intake(raw, rules), [KEY], hot)
     df = sequence_features(
-        filters.dedup_entries(entries), hot, filters.dedup_entries(hot_entries), rules.hot_rows
+        filters.dedup_entries(ordinary.repartition(KEY)), filters.dedup_entries(large)
     )
     df = calendar_fields(df).withColumn(
         "days_since_qd", days_since(F.col(TIME), F.col("adjusted_quit_date"))

@@ -146,10 +146,10 @@ def score(fitted: PipelineModel, rows: DataFrame) -> DataFrame:
     )
 
 
-def run_jobs(jobs: Sequence, work: Callable, parallelism: int) -> None:
-    """Run fits at the same time; each is itself a distributed Spark job."""
+def run_jobs(jobs: Sequence, work: Callable, parallelism: int) -> list:
+    """Run jobs at the same time; each is itself a distributed Spark job."""
     with ThreadPool(min(parallelism, max(len(jobs), 1))) as pool:
-        pool.map(inheritable_thread_target(SparkSession.getActiveSession())(work), jobs)
+        return pool.map(inheritable_thread_target(SparkSession.getActiveSession())(work), jobs)
 
 
 @dataclass
@@ -191,8 +191,9 @@ class Resampled:
 
 def resampled(train: DataFrame, folds: int, resample: Callable = downsample) -> Resampled:
     """Resample inside each fold and over all training rows, written once for all algorithms."""
-    parts = [materialize(resample(train.filter(F.col("fold") != f)), f"fold{f}") for f in range(folds)]
-    return Resampled(train, parts, materialize(resample(train), "resampled"))
+    subsets = [train.filter(F.col("fold") != f) for f in range(folds)] + [train]
+    *parts, whole = run_jobs(subsets, lambda rows: materialize(resample(rows), "resampled"), len(subsets))
+    return Resampled(train, parts, whole)
 
 
 def tune(train: Resampled, model: str, grid: Sequence[dict], design: Design, options: Options) -> DataFrame:

@@ -41,11 +41,16 @@ def test_duplicates_are_cut_before_the_shuffle(spark, sf, tmp_path):
     assert limits and limits[0] > plan.index("Exchange")  # printed below it, so it runs before
 
 
-def test_rows_are_shuffled_once_for_all_sequence_features(spark, sf, tmp_path):
-    """One shuffle for duplicates and one for accounts, and the same for the rows of hot accounts."""
-    shuffles = [keys for _, keys in exchanges(clean_diary(stored(spark, sf, tmp_path), Rules()))]
-    assert len([k for k in shuffles if "adjusted_craving_record_created" in k]) == 2
-    assert len([k for k in shuffles if "_d0" in k]) == 2
+def test_rows_are_shuffled_once_for_duplicates_and_sequence(spark, sf, tmp_path):
+    """One shuffle by account; the others belong to hot accounts: their duplicates and parts."""
+    df = clean_diary(stored(spark, sf, tmp_path), Rules())
+    wide = [k for k in re.findall(r"Exchange hashpartitioning\((.*?), 8\)", plan_of(df))]
+    names = [tuple(re.sub(r"#\d+L?", "", k).split(", ")) for k in wide]
+    assert set(names) == {
+        ("account_id",), ("account_id", "adjusted_craving_record_created"), ("account_id", "_d0"),
+    }
+    top = plan_of(df).split("Union")[1].split("\n:- ")[0]
+    assert "REPARTITION_BY_COL" in plan_of(df) and top
 
 
 def test_no_window_over_all_rows(spark, sf):
