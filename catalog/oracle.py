@@ -119,7 +119,8 @@ def class_metrics(table, keys):
 
 
 def pairwise_auc(table, keys):
-    """AUC and DeLong interval by ranks with ties at half."""
+    """AUC and DeLong interval by ranks with ties at half. The AUC is one division of exact sums,
+    so that a value halfway between two digits stays there."""
     by = cols(keys)
     return f"""
  SELECT {by}, n_pos, n_neg, round_even(auc, 6) AS auc,
@@ -127,10 +128,10 @@ def pairwise_auc(table, keys):
   CASE WHEN v IS NOT NULL THEN round_even(greatest(least(auc + 1.959964 * sqrt(greatest(v, 0)), 1), 0), 6) END AS ci_upper,
   auc AS auc_exact
  FROM (SELECT {by}, count(*) FILTER (label = 1) AS n_pos, count(*) FILTER (label = 0) AS n_neg,
-   avg(v10) FILTER (label = 1 AND n > 0) AS auc,
+   sum(wins) FILTER (label = 1) / nullif(max(m) * max(n), 0) AS auc,
    var_samp(v10) FILTER (label = 1 AND n > 0) / nullif(count(*) FILTER (label = 1), 0)
    + var_samp(v01) FILTER (label = 0 AND m > 0) / nullif(count(*) FILTER (label = 0), 0) AS v
-  FROM (SELECT {by}, label, m, n, (below_neg - same_neg / 2.0::DOUBLE) / nullif(n, 0) AS v10,
+  FROM (SELECT {by}, label, m, n, below_neg - same_neg / 2.0::DOUBLE AS wins, (below_neg - same_neg / 2.0::DOUBLE) / nullif(n, 0) AS v10,
     (m - below_pos + same_pos / 2.0::DOUBLE) / nullif(m, 0) AS v01
    FROM (SELECT *, count(*) FILTER (label = 1) OVER (PARTITION BY {by}) AS m,
      count(*) FILTER (label = 0) OVER (PARTITION BY {by}) AS n,

@@ -9,7 +9,7 @@ from diarist.functions.times import apply_offset, days_since, time_of_day, weekd
 from diarist.operators import filters
 from diarist.operators.hot import HOT_ROWS, hot_keys, split_hot
 from diarist.operators.sequence import sequence_features
-from diarist.schema import CLEAN_COLUMNS, KEY, ORDINAL, OUTCOME, TIME
+from diarist.schema import CLEAN_COLUMNS, KEY, ORDINAL, TIME
 from diarist.sources.tables import parse_times
 
 
