@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from diarist.scratch import scratch_path
-from llm import poisson_mix, slots
+from llm import poisson_mix, slots, winnow
 
 QUERIES = {}
 ORACLE = {}
@@ -36,3 +36,10 @@ def op6_poisson_mix(spark, sf):
     """Sources at the square root of their bytes, one epoch in all."""
     docs = table(spark, sf, "documents")
     return poisson_mix.mix_documents(docs, scratch_path(spark, "rates"))
+
+
+@query
+def op2_winnowing(spark, sf):
+    """Documents against all benchmark items."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return winnow.report(winnow.matches(docs, table(spark, sf, "benchmark"))).drop("text")
