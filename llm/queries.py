@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from diarist.scratch import scratch_path
-from llm import poisson_mix, slots, winnow
+from llm import poisson_mix, simhash_bk, slots, winnow
 
 QUERIES = {}
 ORACLE = {}
@@ -43,3 +43,10 @@ def op2_winnowing(spark, sf):
     """Documents against all benchmark items."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return winnow.report(winnow.matches(docs, table(spark, sf, "benchmark"))).drop("text")
+
+
+@query
+def op8_simhash_bk(spark, sf):
+    """Components of documents whose fingerprints differ in four bits or fewer."""
+    found = simhash_bk.near_duplicates(table(spark, sf, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
