@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from diarist.scratch import scratch_path
-from llm import poisson_mix, simhash_bk, slots, winnow
+from diarist.scratch import materialize, scratch_path
+from llm import poisson_mix, rule_list, simhash_bk, slots, winnow
 
 QUERIES = {}
 ORACLE = {}
@@ -50,3 +50,12 @@ def op8_simhash_bk(spark, sf):
     """Components of documents whose fingerprints differ in four bits or fewer."""
     found = simhash_bk.near_duplicates(table(spark, sf, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op10_rule_list(spark, sf):
+    """Base counts, base rules and the learned decision list."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    counted = materialize(rule_list.statistics(docs).drop("text"), "rule-counts")
+    judged = rule_list.judge(counted, table(spark, sf, "labels"))
+    return judged.select("doc_id", *rule_list.COUNTS[:5], "base_failed", "kept")
