@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from diarist.scratch import materialize, scratch_path
-from llm import poisson_mix, rule_list, simhash_bk, slots, winnow
+from llm import poisson_mix, quality_mil, rule_list, simhash_bk, slots, winnow
 
 QUERIES = {}
 ORACLE = {}
@@ -59,3 +59,12 @@ def op10_rule_list(spark, sf):
     counted = materialize(rule_list.statistics(docs).drop("text"), "rule-counts")
     judged = rule_list.judge(counted, table(spark, sf, "labels"))
     return judged.select("doc_id", *rule_list.COUNTS[:5], "base_failed", "kept")
+
+
+@query
+def op1_attention_mil(spark, sf):
+    """Quality of every document."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    model = quality_mil.learn(docs, table(spark, sf, "labels"))
+    scored = quality_mil.score(docs, model).withColumn("held_out", quality_mil.held_out())
+    return scored.select("doc_id", "held_out", "score", "predicted")
