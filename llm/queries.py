@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from diarist.scratch import materialize, scratch_path
-from llm import poisson_mix, quality_mil, rule_list, simhash_bk, slots, winnow
+from llm import cross_parse, poisson_mix, quality_mil, rule_list, simhash_bk, slots, winnow
 
 QUERIES = {}
 ORACLE = {}
@@ -68,3 +68,15 @@ def op1_attention_mil(spark, sf):
     model = quality_mil.learn(docs, table(spark, sf, "labels"))
     scored = quality_mil.score(docs, model).withColumn("held_out", quality_mil.held_out())
     return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+@query
+def op5_cross_parse(spark, sf):
+    """Language of every document."""
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    taught = docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
+    learned = cross_parse.samples(taught)
+    found = cross_parse.identify(docs.select("doc_id", "text"), learned)
+    return found.withColumn("held_out", quality_mil.held_out(parts=4, rest=2)).select(
+        "doc_id", "held_out", "lang_pred", "score"
+    )
