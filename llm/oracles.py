@@ -56,3 +56,22 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM doc LEFT JOIN word USING (r) LEFT JOIN found USING (r)
 """
+
+ORACLE["op7_warc_segments"] = """
+WITH page AS (
+  SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS h FROM pages
+), bits AS (
+  SELECT page_id, payload, h, min(page_id) OVER (PARTITION BY h) AS first,
+         list_transform(range(0, 8), lambda i: ('0x' || substr(h, (i * 5 + 1)::BIGINT, 5))::BIGINT) AS parts
+  FROM page
+)
+SELECT page_id, strlen(payload)::BIGINT AS payload_bytes,
+       array_to_string(list_transform(parts, lambda v:
+         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> 15) & 31) + 1, 1)
+         || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> 10) & 31) + 1, 1)
+         || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> 5) & 31) + 1, 1)
+         || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v & 31) + 1, 1)), '') AS payload_digest,
+       CASE WHEN page_id = first OR first IS NULL OR page_id IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id != first THEN first END AS refers_to
+FROM bits
+"""

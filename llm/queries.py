@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from diarist.scratch import materialize, scratch_path
-from llm import cross_parse, poisson_mix, quality_mil, rule_list, simhash_bk, slots, winnow
+from llm import cross_parse, poisson_mix, quality_mil, rule_list, simhash_bk, slots, warc, winnow
 
 QUERIES = {}
 ORACLE = {}
@@ -80,3 +80,13 @@ def op5_cross_parse(spark, sf):
     return found.withColumn("held_out", quality_mil.held_out(parts=4, rest=2)).select(
         "doc_id", "held_out", "lang_pred", "score"
     )
+
+
+@query
+def op7_warc_segments(spark, sf):
+    """All pages into archives, and back."""
+    path = scratch_path(spark, "archives")
+    warc.write_archives(table(spark, sf, "pages"), path)
+    return warc.read_pages(spark, path).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
