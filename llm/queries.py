@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from diarist.scratch import materialize, scratch_path
-from llm import cross_parse, poisson_mix, quality_mil, rule_list, simhash_bk, slots, warc, winnow
+from llm import (
+    cross_parse, lattice, poisson_mix, quality_mil, rule_list, simhash_bk, slots, suffix_dedup, warc, winnow,
+)
 
 QUERIES = {}
 ORACLE = {}
@@ -90,3 +92,16 @@ def op7_warc_segments(spark, sf):
     return warc.read_pages(spark, path).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
     )
+
+
+@query
+def op3_subword_lattice(spark, sf):
+    """Log probability of every document."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return lattice.score(docs.withColumn("held_out", quality_mil.held_out(parts=10)))
+
+
+@query
+def op9_suffix_dedup(spark, sf):
+    """Strings of 50 bytes that an earlier document has are removed."""
+    return suffix_dedup.digests(suffix_dedup.remove_repeats(table(spark, sf, "documents")))
