@@ -112,7 +112,7 @@ class Languages:
         classes = self.classes[data]
         active = np.searchsorted(-length, -np.arange(CHUNK), "left")  # chunks longer than a step
         for i, table in enumerate(self.tables):
-            state, phrases = np.zeros(len(begin), np.int32), np.ones(len(begin), np.int32)
+            state, phrases = np.zeros((2, len(begin)), np.int32)
             for t in range(CHUNK):
                 m = int(active[t])
                 if not m:
@@ -120,7 +120,7 @@ class Languages:
                 c = classes[begin[:m] + t]
                 to = table[state[:m] * np.int64(self.width) + c]
                 miss = to == 0
-                phrases[:m] += miss
+                phrases[:m] += miss | (state[:m] == 0)
                 to[miss] = table[c[miss]]
                 state[:m] = to
             total = np.bincount(text, weights=phrases, minlength=n)
