@@ -1,22 +1,19 @@
-"""Queries that train models: SQL cannot express them, so they have no twin.
+"""Queries that train models, each with the defaults of the analysis and over whole tables.
 
-They run over whole tables with fewer folds, parameter sets and trees than the defaults.
+SQL cannot express the fits. Only the elastic net is registered: with ten folds, all parameter sets, 500
+and 1,000 trees of full depth, the other algorithms, the held-out analyses and the models of single
+accounts take hours on one machine. They are in ``diarist.plans`` and their reduced runs are tests.
 """
 
-from dataclasses import replace
-
 from pyspark.sql import functions as F
 
 from catalog import inputs
-from diarist.operators import compare, evaluate
-from diarist.plans import holdout, individual, pooled
-from diarist.plans.clean import cohort
+from catalog.rounding import rounded
+from diarist.operators import compare
+from diarist.plans import pooled
 from diarist.plans.pooled import Options
-from diarist.schema import KEY, MODELS
 
 QUERIES = {}
-QUICK = Options(folds=3, sizes=dict.fromkeys(MODELS, 2), trees=10, max_depth=5, max_iter=20)
-FOREST = holdout.FOREST | {"trees": 10}
 
 
 def query(fn):
@@ -24,149 +21,51 @@ def query(fn):
     return fn
 
 
-def _only(model, **changes):
-    return replace(QUICK, models=(model,), **changes)
-
-
-def _pooled(spark, sf, model):
-    """One algorithm, tuned and fitted once per session."""
+def _elastic_net(spark, sf):
+    """Tuned and fitted once per session."""
     return inputs.kept(
-        spark, sf, model, lambda: pooled.pooled_models(inputs.sample(spark, sf), options=_only(model))
+        spark, sf, "elnet", lambda: pooled.pooled_models(inputs.sample(spark, sf), options=Options(models=("elnet",)))
     )
 
 
-def _single(spark, sf, model):
-    """Test metrics of one tuned algorithm."""
-    return _pooled(spark, sf, model).metrics()
-
-
 @query
 def fit_elastic_net(spark, sf):
-    return _single(spark, sf, "elnet")
+    """Test metrics of the tuned elastic net."""
+    return rounded(_elastic_net(spark, sf).metrics())
 
 
 @query
-def fit_forest(spark, sf):
-    return _single(spark, sf, "rf")
-
-
-@query
-def fit_rbf_svm(spark, sf):
-    return _single(spark, sf, "svm")
-
-
-@query
-def fit_boosted(spark, sf):
-    return _single(spark, sf, "xgb")
-
-
-@query
-def tune(spark, sf):
+def elastic_net_tuning(spark, sf):
     """Mean metrics of every parameter set, and whether it was chosen."""
-    result = _pooled(spark, sf, "elnet")
+    result = _elastic_net(spark, sf)
     chosen = result.params.filter("name = 'param_id'").select("model", F.col("value").cast("int").alias("best"))
-    return result.tuning.join(chosen, "model").withColumn("chosen", F.col("param_id") == F.col("best")).drop("best")
+    marked = result.tuning.join(chosen, "model").withColumn("chosen", F.col("param_id") == F.col("best"))
+    return rounded(marked.drop("best"))
 
 
 @query
-def final_fit(spark, sf):
+def elastic_net_scores(spark, sf):
     """Test rows with the score of the tuned model."""
-    return _pooled(spark, sf, "elnet").predictions
+    return rounded(_elastic_net(spark, sf).predictions)
 
 
 @query
-def test_auc(spark, sf):
-    """AUC and interval on the test rows, per algorithm."""
-    both = [_pooled(spark, sf, m).predictions for m in ("elnet", "rf")]
-    return evaluate.auc_ci(both[0].unionByName(both[1]), ["model"])
+def elastic_net_auc(spark, sf):
+    """AUC and interval on the test rows."""
+    return rounded(_elastic_net(spark, sf).auc())
 
 
 @query
-def model_importance(spark, sf):
-    result = _pooled(spark, sf, "elnet")
+def elastic_net_importance(spark, sf):
+    """The ten largest coefficients."""
+    result = _elastic_net(spark, sf)
     rows = pooled.model_importance(result.models["elnet"], "elnet", result.design)
-    return compare.top_features(rows, keys=["model"])
-
-
-@query
-def permutation_importance(spark, sf):
-    result = _pooled(spark, sf, "rf")
-    rows = pooled.permutation_importance(result.models["rf"], "rf", result.test, result.design)
-    return compare.top_features(rows, keys=["model"])
-
-
-@query
-def analysis_variants(spark, sf):
-    """Curves of the main analysis and its three variants."""
-    return pooled.analysis_variants(
-        inputs.clean(spark, sf), _only("elnet", folds=2, sizes={"elnet": 1})
-    )
-
-
-def _mixed(spark, sf):
-    return cohort(inputs.clean(spark, sf), outcomes="mixed")
-
-
-@query
-def group_to_individual(spark, sf):
-    return _group_auc(spark, sf)
-
-
-@query
-def hybrid_to_individual(spark, sf):
-    scores = holdout.holdout_scores(_mixed(spark, sf), groups=4, moved=0.2, params=FOREST, max_depth=5)
-    return holdout.holdout_auc(scores, "auto")
-
-
-@query
-def hybrid_to_individual_40(spark, sf):
-    scores = holdout.holdout_scores(_mixed(spark, sf), groups=4, moved=0.4, params=FOREST, max_depth=5)
-    return holdout.holdout_auc(scores, "auto")
-
-
-def _individual(spark, sf):
-    return inputs.kept(
-        spark, sf, "individual",
-        lambda: individual.individual_models(cohort(inputs.clean(spark, sf), more_than=5), options=QUICK),
-    )
-
-
-def _group_auc(spark, sf):
-    """The forest that never saw the account it scores."""
-    scores = inputs.saved(
-        spark, sf, "holdout",
-        lambda: holdout.holdout_scores(_mixed(spark, sf), groups=4, params=FOREST, max_depth=5),
-    )
-    return holdout.holdout_auc(scores, "auto")
-
-
-@query
-def individual_models(spark, sf):
-    """Test metrics of every account and algorithm, complete accounts only."""
-    return _individual(spark, sf).metrics()
-
-
-@query
-def individual_importance(spark, sf):
-    """How many accounts list a variable in their top ten, per algorithm."""
-    variables = _individual(spark, sf).variables()
-    top = compare.top_features(variables)
-    return compare.labelled_prevalence(compare.importance_prevalence(top, top))
-
-
-@query
-def capture_failures(spark, sf):
-    """Accounts per algorithm and outcome of the fit: "fitted" or the reason it failed.
-
-    All accounts of the sample are tried, so some have one class only.
-    """
-    result = individual.individual_models(inputs.sample(spark, sf), options=QUICK)
-    done = result.predictions.select(KEY, "model").distinct().withColumn("reason", F.lit("fitted"))
-    return done.unionByName(result.failures).groupBy("model", "reason").agg(F.count("*").alias("accounts"))
+    return rounded(compare.top_features(rows, keys=["model"]))
 
 
 @query
-def individual_to_group(spark, sf):
-    """Each account's best own model beside the forest that never saw the account."""
-    own = compare.metrics_wide(_individual(spark, sf).metrics())
-    return compare.compare_to_group(compare.best_model_per_account(own), _group_auc(spark, sf))
+def elastic_net_permutation(spark, sf):
+    """The ten variables whose permutation costs most AUC on the training rows."""
+    result = _elastic_net(spark, sf)
+    rows = pooled.permutation_importance(result.models["elnet"], "elnet", result.train, result.design)
+    return rounded(compare.top_features(rows, keys=["model"]))

@@ -1,8 +1,9 @@
 """Models of single accounts: four algorithms on each account's own entries.
 
-Spark makes the cohort, the splits and folds, groups the rows by account and algorithm, and does
-the evaluation and the choice of parameters; a grouped Pandas task only fits and scores. Accounts
-too large for one task go through the distributed algorithms instead.
+Spark makes the cohort, the splits and folds, deals out the fits, and does the evaluation and the choice
+of parameters. A fit is a grouped Pandas task of one account, algorithm, fold and parameter set. It learns
+from at most ``fit_rows`` training rows, the first in hash order, whatever the size of the account, and
+scores all test rows: those are dealt into chunks of about ``fit_rows``, each with the same fit.
 """
 
 import zlib
@@ -19,13 +20,12 @@ from diarist.operators.compare import complete_accounts
 from diarist.operators.cohort import restrict_to_accounts
 from diarist.operators.evaluate import collect_metrics, metrics_long, select_best
 from diarist.operators.features import INDIVIDUAL_DROPS, NOMINAL
-from diarist.operators.hot import HOT_ROWS, hot_keys
-from diarist.operators.resample import upsample
+from diarist.operators.resample import draw_ranks
 from diarist.plans import pooled
 from diarist.plans.grid import param_grid
 from diarist.plans.pooled import Design, Options
 from diarist.schema import KEY, ORDINAL
-from diarist.scratch import materialize, scratch_path
+from diarist.scratch import materialize
 
 # Account-level and time columns stay out, since most of them do not vary within an account.
 DESIGN = Design(
@@ -74,21 +74,17 @@ def _seed(pdf, *more):
 def _tuning_task(grids):
     def task(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(ORDINAL)
-        account, model, out = pdf[KEY].iloc[0], pdf["model"].iloc[0], []
-        for fold in sorted(pdf["fold"].unique()):
-            test = pdf[pdf["fold"] == fold]
-            for params in grids[model]:
-                rng = _seed(pdf, fold, params["param_id"])
-                head = {KEY: account, "model": model, "param_id": params["param_id"], "fold": fold}
-                try:
-                    x, y, z, _ = _ready(pdf[pdf["fold"] != fold], test, rng)
-                    scores = LEARNERS[model](x, y, params, rng)[0](z)
-                    out.append(pd.DataFrame(
-                        {**head, "row_id": test[ORDINAL], "label": test["label"], "score": scores}
-                    ))
-                except (ValueError, np.linalg.LinAlgError) as e:
-                    out.append(pd.DataFrame([{**head, "reason": str(e)}]))
-        return _shaped(pd.concat(out), _SCORES)
+        model, param_id, fold = (pdf[c].iloc[0] for c in ("model", "param_id", "held"))
+        head = {KEY: pdf[KEY].iloc[0], "model": model, "param_id": param_id, "fold": fold}
+        rng = _seed(pdf, fold, param_id)
+        test = pdf[pdf["fold"] == fold]
+        try:
+            x, y, z, _ = _ready(pdf[pdf["fold"] != fold], test, rng)
+            scores = LEARNERS[model](x, y, grids[model][param_id], rng)[0](z)
+            out = pd.DataFrame({**head, "row_id": test[ORDINAL], "label": test["label"], "score": scores})
+        except Exception as e:  # one account's failure is a result, not the end of the job
+            out = pd.DataFrame([{**head, "reason": f"{type(e).__name__}: {e}"}])
+        return _shaped(out, _SCORES)
 
     return task
 
@@ -98,27 +94,23 @@ def _final_task(grids, names):
         pdf = pdf.sort_values(ORDINAL)
         model, param_id = pdf["model"].iloc[0], int(pdf["param_id"].iloc[0])
         head = {KEY: pdf[KEY].iloc[0], "model": model, "param_id": param_id}
-        params = next(p for p in grids[model] if p["param_id"] == param_id)
         rng = _seed(pdf)
         test = pdf[pdf["split"] == "testing"]
         try:
             x, y, z, kept = _ready(pdf[pdf["split"] == "training"], test, rng)
-            predict, built_in = LEARNERS[model](x, y, params, rng)
-            if built_in is None:  # AUC lost on the training rows when one column is shuffled
-                base, built_in = auc(y, predict(x)), np.zeros(len(kept))
-                for j in range(len(kept)):
-                    mixed = x.copy()
-                    mixed[:, j] = rng.permutation(mixed[:, j])
-                    built_in[j] = base - auc(y, predict(mixed))
-            scores = pd.DataFrame(
-                {**head, "row_id": test[ORDINAL], "label": test["label"], "score": predict(z)}
-            )
-            weights = pd.DataFrame(
-                {**head, "variable": [names[k] for k in kept], "importance": built_in}
-            )
-            out = pd.concat([scores, weights])
-        except (ValueError, np.linalg.LinAlgError) as e:
-            out = pd.DataFrame([{**head, "reason": str(e)}])
+            predict, built_in = LEARNERS[model](x, y, grids[model][param_id], rng)
+            out = pd.DataFrame({**head, "row_id": test[ORDINAL], "label": test["label"], "score": predict(z)})
+            if pdf["chunk"].iloc[0] == 0:
+                if built_in is None:  # AUC lost on the training rows when one column is shuffled
+                    base, built_in = auc(y, predict(x)), np.zeros(len(kept))
+                    for j in range(len(kept)):
+                        mixed = x.copy()
+                        mixed[:, j] = rng.permutation(mixed[:, j])
+                        built_in[j] = base - auc(y, predict(mixed))
+                weights = {**head, "variable": [names[k] for k in kept], "importance": built_in}
+                out = pd.concat([out, pd.DataFrame(weights)])
+        except Exception as e:
+            out = pd.DataFrame([{**head, "reason": f"{type(e).__name__}: {e}"}])
         return _shaped(out, _FINAL)
 
     return task
@@ -145,73 +137,65 @@ class IndividualResult:
         return restrict_to_accounts(self.importance, complete_accounts(self.predictions))
 
 
+def _dealt(rows: DataFrame, fit_rows: int, test) -> DataFrame:
+    """Test rows with the ``chunk`` they are scored in, and training rows once for each chunk of the account.
+
+    ``rows`` have ``draw_rank`` among the training rows of their account, null for others.
+    """
+    tested = rows.filter(test)
+    sizes = tested.groupBy(KEY, "held").agg(F.ceil(F.count("*") / fit_rows).cast("int").alias("chunks"))
+    wide = rows.join(sizes, [KEY, "held"])
+    own = F.array(F.pmod(F.xxhash64(ORDINAL), F.col("chunks")).cast("int"))
+    all_ = F.sequence(F.lit(0), F.col("chunks") - 1)
+    used = wide.filter(test | (F.col("draw_rank") <= fit_rows))
+    return used.withColumn("chunk", F.explode(F.when(test, own).otherwise(all_))).drop("chunks")
+
+
 def individual_models(
-    sample: DataFrame, design: Design = DESIGN, options: Options | None = None, task_rows: int = HOT_ROWS
+    sample: DataFrame, design: Design = DESIGN, options: Options | None = None, fit_rows: int = 100_000
 ) -> IndividualResult:
     """Split, tune, fit and score each account on its own entries.
 
     One stratified split per account serves all algorithms, so they are compared on the same test
-    rows. ``task_rows`` is the largest account one task takes.
+    rows. ``fit_rows`` bounds the labelled rows that one fit uses; larger accounts are fitted on a
+    random part of their training rows, by the same algorithms, and scored whole.
     """
     options = options or Options()
     names = design.names
     rows = pooled.prepare(sample, design, folds=options.folds, keys=[KEY, "craving_did_smoke"])
-    large = hot_keys(rows, [KEY], task_rows)  # at most rows / task_rows accounts
-    small = rows.join(F.broadcast(large), KEY, "left_anti")
     grids = {
         m: param_grid(m, len(names), options.sizes.get(m), pooled.SEED, options.trees) for m in options.models
     }
+    training = draw_ranks(rows.filter("split = 'training'"), [KEY], f"{pooled.SEED}:fit").drop("draw_n")
+    testing = rows.filter("split = 'testing'").withColumn("draw_rank", F.lit(None).cast("bigint"))
+    columns = [ORDINAL, KEY, "label", "split", "fold", "draw_rank", F.array(*names).alias("x")]
 
     # Tasks here are heavy in time and light in bytes, so their number is set by hand.
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    packed = small.select(
-        ORDINAL, KEY, "label", "split", "fold", F.array(*names).alias("x"),
-        F.explode(F.array(*[F.lit(m) for m in options.models])).alias("model"),
-    ).repartition(tasks, KEY, "model")
-    training = packed.filter("split = 'training'").drop("split")
-    scores = training.groupBy(KEY, "model").applyInPandas(_tuning_task(grids), _SCORES)
+    sets = F.explode(F.array(*[
+        F.struct(F.lit(m).alias("model"), F.lit(p["param_id"]).alias("param_id")) for m in options.models for p in grids[m]
+    ])).alias("s")
+    folds = training.select(*columns, F.explode(F.sequence(F.lit(0), F.lit(options.folds - 1))).alias("held"))
+    packed = _dealt(folds, fit_rows, F.col("fold") == F.col("held")).select("*", sets).select(
+        ORDINAL, KEY, "label", "fold", "x", "held", "chunk", "s.*"
+    )
+    fits = [KEY, "model", "held", "param_id", "chunk"]
+    scores = packed.repartition(tasks, *fits).groupBy(*fits).applyInPandas(_tuning_task(grids), _SCORES)
     scores = materialize(scores, "account-tuning")
-    folds = metrics_long(scores.filter("reason IS NULL"), [KEY, "model", "param_id", "fold"])
-    tuning = materialize(collect_metrics(folds, [KEY, "model", "param_id"]), "account-collected")
-    chosen = select_best(tuning, [KEY, "model"]).select(KEY, "model", "param_id")
-    final = packed.join(chosen, [KEY, "model"]).repartition(tasks, KEY, "model").groupBy(KEY, "model").applyInPandas(
-        _final_task(grids, names), _FINAL
+    by_fold = metrics_long(scores.filter("reason IS NULL"), [KEY, "model", "param_id", "fold"])
+    tuning = materialize(collect_metrics(by_fold, [KEY, "model", "param_id"]), "account-collected")
+    chosen = materialize(select_best(tuning, [KEY, "model"]).select(KEY, "model", "param_id"), "account-chosen")
+    both = training.unionByName(testing).select(*columns, F.lit(0).alias("held"))
+    final = _dealt(both, fit_rows, F.col("split") == "testing").join(chosen, KEY).select(
+        ORDINAL, KEY, "label", "split", "x", "chunk", "model", "param_id"
     )
-    final = materialize(final, "account-final")
-    untuned = scores.filter("reason IS NOT NULL").groupBy(KEY, "model").agg(F.min("reason").alias("reason"))
-    untuned = untuned.join(chosen, [KEY, "model"], "left_anti")
-    failures = final.filter("reason IS NOT NULL").select(KEY, "model", "reason").unionByName(untuned)
-
+    last = [KEY, "model", "chunk"]
+    final = materialize(
+        final.repartition(tasks, *last).groupBy(*last).applyInPandas(_final_task(grids, names), _FINAL), "account-final"
+    )
+    failed = scores.filter("reason IS NOT NULL").groupBy(KEY, "model").agg(F.min("reason").alias("reason"))
+    untuned = failed.join(chosen, [KEY, "model"], "left_anti")
+    unfitted = final.filter("reason IS NOT NULL").groupBy(KEY, "model").agg(F.min("reason").alias("reason"))
     predictions = final.filter("row_id IS NOT NULL").select(KEY, "model", "param_id", "row_id", "label", "score")
     importance = final.filter("variable IS NOT NULL").select(KEY, "model", "variable", "importance")
-    for account in large.toLocalIterator():
-        one = rows.filter(F.col(KEY) == account[KEY])
-        big = _large_account(one, account[KEY], design, options)
-        predictions, importance, tuning = (
-            a.unionByName(b) for a, b in zip((predictions, importance, tuning), big)
-        )
-    return IndividualResult(predictions, importance, failures, tuning)
-
-
-def _large_account(rows: DataFrame, account: str, design: Design, options: Options) -> Sequence[DataFrame]:
-    """The same analysis for one large account with the distributed algorithms."""
-    test = rows.filter("split = 'testing'")
-    train = pooled.resampled(rows.filter("split = 'training'"), options.folds, upsample)
-    spark = rows.sparkSession
-    path = scratch_path(spark, "large-account")
-    tuning = importance = None
-    for model in options.models:
-        fitted, params, collected = pooled.tuned(train, model, design, options)
-        pooled.score(fitted, test).select(
-            KEY, F.lit(model).alias("model"), F.lit(int(params["param_id"])).alias("param_id"),
-            "row_id", "label", "score",
-        ).write.mode("append").parquet(path)
-        if model in ("rf", "svm"):
-            weights = pooled.permutation_importance(fitted, model, test, design)
-        else:
-            weights = pooled.model_importance(fitted, model, design)
-        weights = weights.select(F.lit(account).alias(KEY), "model", "variable", "importance")
-        collected = collected.select(F.lit(account).alias(KEY), "*")
-        importance = weights if importance is None else importance.unionByName(weights)
-        tuning = collected if tuning is None else tuning.unionByName(collected)
-    return spark.read.parquet(path), importance, tuning
+    return IndividualResult(predictions, importance, unfitted.unionByName(untuned), tuning)

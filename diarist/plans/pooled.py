@@ -2,6 +2,7 @@
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from functools import cached_property
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
@@ -16,19 +17,17 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol, Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.util import inheritable_thread_target
 
 from diarist.operators.evaluate import auc_ci, collect_metrics, metrics_long, roc_curve, select_best
 from diarist.operators.features import NOMINAL, NUMERIC, dummies
 from diarist.operators.filters import impute_zero
-from diarist.operators.hot import HOT_ROWS
-from diarist.operators.resample import downsample, draw_key, hex_digit, kfold, train_test_split
+from diarist.operators.resample import downsample, draw_ranks, kfold, train_test_split
 from diarist.plans.clean import cohort
 from diarist.plans.grid import SIZES, param_grid
 from diarist.schema import KEY, MODELS, ORDINAL, OUTCOME
-from diarist.scratch import materialize, scratch_path
+from diarist.scratch import materialize, remove, scratch_path
 
 # A threshold of 0.5 on the vote decides the class; every fit is seeded by this.
 SEED = 555
@@ -97,11 +96,11 @@ class FourierFeatures(Transformer, HasInputCol, HasOutputCol, DefaultParamsReada
         return dataset.withColumn(self.getOutputCol(), lifted)
 
 
-def estimator(model: str, params: dict, rows: int, max_depth: int = 12, max_iter: int = 100) -> list:
+def estimator(model: str, params: dict, rows: int, max_depth: int = 30, max_iter: int = 100) -> list:
     """Pipeline stages of one algorithm. The SVM cost and the loss reduction are sums over the
     training rows; Spark takes them per row, hence ``rows``.
 
-    A forest's ``min_n`` bounds each child here; ``max_depth`` bounds its trees. Boosting is
+    A forest's ``min_n`` bounds each child here; ``max_depth`` is Spark's own limit. Boosting is
     first-order. The SVM works on random Fourier features, with Platt scaling on its margin.
     """
     common = {"featuresCol": "features", "labelCol": "label"}
@@ -131,12 +130,49 @@ def estimator(model: str, params: dict, rows: int, max_depth: int = 12, max_iter
     ]
 
 
-def fit(
-    model: str, params: dict, train: DataFrame, design: Design, max_depth: int = 12, max_iter: int = 100
-) -> PipelineModel:
-    """Fit the recipe and one algorithm on resampled training rows."""
-    rows = train.count() if model in ("svm", "xgb") else 0
-    return Pipeline(stages=recipe(design) + estimator(model, params, rows, max_depth, max_iter)).fit(train)
+@dataclass
+class Part:
+    """What one fit learns from: the recipe, fitted on all training rows, and the resampled rows."""
+
+    recipe: PipelineModel
+    rows: DataFrame
+    path: str | None = None  # where the resampled rows are written, if they are
+
+    @cached_property
+    def n(self) -> int:
+        return self.rows.count()
+
+
+def part(train: DataFrame, design: Design, resample: Callable = downsample, written: bool = True) -> Part:
+    """Fit the recipe on the training rows as they are, then resample them.
+
+    Several fits on one part read the resampled rows from a written table; a single fit needs none.
+    """
+    fitted = Pipeline(stages=recipe(design)).fit(train)
+    rows = resample(train)
+    if not written:
+        return Part(fitted, rows)
+    path = scratch_path(train.sparkSession, "resampled")
+    rows.write.parquet(path)
+    return Part(fitted, train.sparkSession.read.parquet(path), path)
+
+
+def recipe_statistics(rows: DataFrame, design: Design, folds: int) -> DataFrame:
+    """(fold, variable, mean, sd) that the scaler of each fold's fit holds; fold -1 is the final fit."""
+    train = rows.filter("split = 'training'")
+    out = []
+    for fold in range(-1, folds):
+        scaler = Pipeline(stages=recipe(design)[:2]).fit(train.filter(F.col("fold") != fold)).stages[1]
+        out += [(fold, c, float(m), float(s)) for c, m, s in zip(design.numeric, scaler.mean, scaler.std)]
+    return rows.sparkSession.createDataFrame(out, "fold int, variable string, mean double, sd double")
+
+
+def fit(model: str, params: dict, part: Part, max_depth: int = 30, max_iter: int = 100) -> PipelineModel:
+    """Fit one algorithm on a part; the result starts with the part's recipe."""
+    rows = part.n if model in ("svm", "xgb") else 0
+    stages = estimator(model, params, rows, max_depth, max_iter)
+    fitted = Pipeline(stages=stages).fit(part.recipe.transform(part.rows))
+    return PipelineModel(part.recipe.stages + fitted.stages)
 
 
 def score(fitted: PipelineModel, rows: DataFrame) -> DataFrame:
@@ -159,7 +195,7 @@ class Options:
     folds: int = 10
     sizes: dict = field(default_factory=lambda: dict(SIZES))
     trees: int | None = None
-    max_depth: int = 12
+    max_depth: int = 30
     max_iter: int = 100
     parallelism: int = 8
     models: Sequence[str] = tuple(MODELS)
@@ -186,17 +222,21 @@ class Resampled:
 
     rows: DataFrame
     without_fold: list
-    whole: DataFrame
+    whole: Part
 
+    def close(self) -> None:
+        """Delete the written parts."""
+        remove(self.rows.sparkSession, *[p.path for p in (*self.without_fold, self.whole) if p.path])
 
-def resampled(train: DataFrame, folds: int, resample: Callable = downsample) -> Resampled:
-    """Resample inside each fold and over all training rows, written once for all algorithms."""
+
+def resampled(train: DataFrame, folds: int, design: Design, resample: Callable = downsample) -> Resampled:
+    """Recipe and resampling inside each fold and over all training rows, once for all algorithms."""
     subsets = [train.filter(F.col("fold") != f) for f in range(folds)] + [train]
-    *parts, whole = run_jobs(subsets, lambda rows: materialize(resample(rows), "resampled"), len(subsets))
+    *parts, whole = run_jobs(subsets, lambda rows: part(rows, design, resample), len(subsets))
     return Resampled(train, parts, whole)
 
 
-def tune(train: Resampled, model: str, grid: Sequence[dict], design: Design, options: Options) -> DataFrame:
+def tune(train: Resampled, model: str, grid: Sequence[dict], options: Options) -> DataFrame:
     """Score every fold with every parameter set: (model, param_id, fold, row_id, label, score).
 
     Each fit writes its predictions; they are read back as one table, so no plan grows.
@@ -206,7 +246,7 @@ def tune(train: Resampled, model: str, grid: Sequence[dict], design: Design, opt
 
     def work(job):
         fold, params = job
-        fitted = fit(model, params, train.without_fold[fold], design, options.max_depth, options.max_iter)
+        fitted = fit(model, params, train.without_fold[fold], options.max_depth, options.max_iter)
         out = score(fitted, train.rows.filter(F.col("fold") == fold))
         out.write.parquet(f"{path}/param_id={params['param_id']}/fold={fold}")
 
@@ -225,8 +265,8 @@ def best_params(predictions: DataFrame, grid: Sequence[dict]) -> tuple[dict, Dat
 def tuned(train: Resampled, model: str, design: Design, options: Options):
     """Tune one algorithm and fit it on all training rows: (fitted, parameters, mean metrics)."""
     grid = param_grid(model, len(design.names), options.sizes.get(model), SEED, options.trees)
-    params, collected = best_params(tune(train, model, grid, design, options), grid)
-    return fit(model, params, train.whole, design, options.max_depth, options.max_iter), params, collected
+    params, collected = best_params(tune(train, model, grid, options), grid)
+    return fit(model, params, train.whole, options.max_depth, options.max_iter), params, collected
 
 
 @dataclass
@@ -237,6 +277,7 @@ class PooledResult:
     tuning: DataFrame  # model, param_id, metric, mean, n, std_err
     params: DataFrame  # model, name, value of the chosen set
     models: dict  # model -> fitted pipeline
+    train: DataFrame
     test: DataFrame
     design: Design
 
@@ -261,7 +302,7 @@ def pooled_models(sample: DataFrame, design: Design = Design(), options: Options
     options = options or Options()
     rows = prepare(sample, design, folds=options.folds)
     test = rows.filter("split = 'testing'")
-    train = resampled(rows.filter("split = 'training'"), options.folds)
+    train = resampled(rows.filter("split = 'training'"), options.folds, design)
     spark = sample.sparkSession
     path, models, chosen, tables = scratch_path(spark, "test-scores"), {}, [], []
     for model in options.models:
@@ -269,12 +310,13 @@ def pooled_models(sample: DataFrame, design: Design = Design(), options: Options
         score(models[model], test).write.parquet(f"{path}/model={model}")
         chosen += [(model, name, float(value)) for name, value in params.items()]
         tables.append(collected)
+    train.close()
     tuning = tables[0]
     for t in tables[1:]:
         tuning = tuning.unionByName(t)
     return PooledResult(
         spark.read.parquet(path), tuning,
-        spark.createDataFrame(chosen, "model string, name string, value double"), models, test, design,
+        spark.createDataFrame(chosen, "model string, name string, value double"), models, train.rows, test, design,
     )
 
 
@@ -289,24 +331,24 @@ def model_importance(fitted: PipelineModel, model: str, design: Design) -> DataF
 
 
 def permutation_importance(
-    fitted: PipelineModel, model: str, rows: DataFrame, design: Design, seed=SEED, bucket_rows: int = HOT_ROWS
+    fitted: PipelineModel, model: str, train: DataFrame, design: Design, seed=SEED
 ) -> DataFrame:
-    """AUC lost when one feature is taken from another row, for every feature.
+    """AUC lost on the training rows when one feature is taken from another row, for every feature.
 
-    Rows are put in hash order, and each takes the feature from its neighbour (the last one from
-    the first), a random permutation that keeps the rest of the row. Large tables are cut into
-    buckets by hash, so ordering never gathers them, and one donor serves all features.
+    Rows are ranked in hash order over the whole table, by running totals that gather nothing, and
+    each takes the feature from the row that is next in rank (the last one from the first): a random
+    permutation that keeps the rest of the row. One donor serves all features.
     """
     prepared = PipelineModel(fitted.stages[:3])
     algorithm = PipelineModel(fitted.stages[3:])
-    buckets = max(1, rows.count() // bucket_rows)
-    ready = prepared.transform(rows).select(
-        "label", vector_to_array("features").alias("x"), draw_key(f"{seed}:permute").alias("_draw")
-    ).withColumn("_bucket", hex_digit(F.col("_draw"), 1, 8) % buckets)
-    order = Window.partitionBy("_bucket").orderBy("_draw")
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    donor = F.coalesce(F.lead("x").over(order), F.first("x").over(whole))
-    ready = ready.select("label", "x", donor.alias("y"))
+    ranked = draw_ranks(prepared.transform(train), (), f"{seed}:permute").select(
+        "label", vector_to_array("features").alias("x"), "draw_rank", "draw_n"
+    )
+    ranked = materialize(ranked, "permutation")
+    donors = ranked.select((F.col("draw_rank") - 2).alias("_next"), F.col("x").alias("y"), "draw_n").select(
+        (F.pmod("_next", "draw_n") + 1).alias("draw_rank"), "y"
+    )
+    ready = ranked.join(donors, "draw_rank").select("label", "x", "y")
     # Feature -1 leaves the row as it is.
     nr = F.explode(F.sequence(F.lit(-1), F.lit(len(design.names) - 1))).alias("j")
     swapped = F.transform("x", lambda v, i: F.when(i == F.col("j"), F.get("y", i)).otherwise(v))
@@ -319,7 +361,7 @@ def permutation_importance(
     names = F.array(*[F.lit(n) for n in design.names])
     return auc.filter("j >= 0").select(
         F.lit(model).alias("model"), F.get(names, F.col("j")).alias("variable"),
-        F.bround(base - F.col("auc"), 6).alias("importance"),
+        (base - F.col("auc")).alias("importance"),
     )
 
 

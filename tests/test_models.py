@@ -6,14 +6,16 @@ from pyspark.ml.linalg import Vectors
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
-from catalog import inputs, training
+from catalog import inputs
 from diarist.functions import learners
 from diarist.operators.resample import downsample
 from diarist.plans import holdout, individual, pooled
 from diarist.plans.clean import cohort
 from diarist.plans.pooled import Design, FourierFeatures, Options
 from diarist.schema import KEY
+from diarist.scratch import materialize, scratch_path
 
+FOREST = holdout.FOREST | {"trees": 10}
 PARAMS = {
     "rf": {"mtry": 3, "min_n": 5, "trees": 30},
     "elnet": {"penalty": 0.01, "mixture": 0.5},
@@ -78,11 +80,13 @@ def test_pooled_models_save_and_load(result, spark, tmp_path):
 
 def test_importances(result):
     built_in = pooled.model_importance(result.models["elnet"], "elnet", result.design)
-    shuffled = pooled.permutation_importance(result.models["rf"], "rf", result.test, result.design)
+    shuffled = pooled.permutation_importance(result.models["rf"], "rf", result.train, result.design)
     assert built_in.count() == shuffled.count() == len(result.design.names)
     assert shuffled.filter("abs(importance) > 1").count() == 0
-    buckets = pooled.permutation_importance(result.models["rf"], "rf", result.test, result.design, bucket_rows=20)
-    assert buckets.count() == len(result.design.names)
+    again = pooled.permutation_importance(
+        result.models["rf"], "rf", result.train.repartition(5), result.design, seed=pooled.SEED)
+    by_name = lambda df: {r["variable"]: round(r["importance"], 9) for r in df.collect()}
+    assert by_name(again) == by_name(shuffled)
 
 
 def test_folds_are_balanced_inside_training(spark, sf):
@@ -95,8 +99,8 @@ def test_folds_are_balanced_inside_training(spark, sf):
 
 def test_saved_rbf_svm_scores(spark, sf):
     rows = pooled.prepare(inputs.sample(spark, sf), Design(), folds=2)
-    train = downsample(rows.filter("split = 'training'"))
-    fitted = pooled.fit("svm", {"cost": 1.0, "rbf_sigma": 0.01}, train, Design(), max_iter=5)
+    train = pooled.part(rows.filter("split = 'training'"), Design(), downsample)
+    fitted = pooled.fit("svm", {"cost": 1.0, "rbf_sigma": 0.01}, train, max_iter=5)
     scores = pooled.score(fitted, rows.filter("split = 'testing'"))
     assert scores.filter("score BETWEEN 0 AND 1").count() == 98
 
@@ -104,7 +108,7 @@ def test_saved_rbf_svm_scores(spark, sf):
 @pytest.mark.parametrize("moved,rows", [(None, 415), (0.2, None)])
 def test_holdouts(spark, sf, moved, rows):
     mixed = cohort(inputs.clean(spark, sf), outcomes="mixed")
-    scores = holdout.holdout_scores(mixed, groups=2, moved=moved, params=training.FOREST, max_depth=3)
+    scores = holdout.holdout_scores(mixed, groups=2, moved=moved, params=FOREST, max_depth=3)
     auc = holdout.holdout_auc(scores)
     assert auc.count() == 10
     if rows:
@@ -117,7 +121,7 @@ def test_holdouts(spark, sf, moved, rows):
 def test_leave_one_account_out_needs_one_fit_per_account(spark, sf):
     some = cohort(inputs.clean(spark, sf), at_least=45, outcomes="mixed")
     n = some.select(KEY).distinct().count()
-    scores = holdout.holdout_scores(some, groups=None, params=training.FOREST | {"trees": 2}, max_depth=2)
+    scores = holdout.holdout_scores(some, groups=n, params=FOREST | {"trees": 2}, max_depth=2)
     assert scores.select("holdout").distinct().count() == n
     assert scores.groupBy("holdout").agg(F.count_distinct(KEY).alias("n")).filter("n > 1").count() == 0
 
@@ -142,11 +146,57 @@ def test_failures_are_kept(spark, sf):
     assert result.failures.count() >= one_class.select(KEY).distinct().count() > 0
 
 
-def test_large_accounts_use_the_distributed_algorithms(spark, sf):
-    sample = cohort(inputs.clean(spark, sf), more_than=5).filter("n_entries >= 45")
-    options = Options(folds=2, sizes={"elnet": 1}, max_iter=5, models=("elnet",))
-    small = individual.individual_models(sample, options=options)
-    large = individual.individual_models(sample, options=options, task_rows=1)
-    rows = lambda r: sorted((x[KEY], x["row_id"]) for x in r.predictions.collect())
-    assert rows(small) == rows(large)
-    assert large.importance.count() > 0
+def test_one_method_whatever_the_size(spark, sf):
+    """Accounts above and below ``fit_rows`` go the same way: all test rows are scored, failures are alike."""
+    sample = inputs.sample(spark, sf).filter("n_entries >= 45 OR n_lapses = 0")
+    options = Options(folds=2, sizes={"elnet": 1}, models=("elnet",))
+    whole = individual.individual_models(sample, options=options)
+    chunks = individual.individual_models(sample, options=options, fit_rows=60)
+    rows = lambda r: {(x[KEY], x["row_id"]): round(x["score"], 9) for x in r.predictions.collect()}
+    assert rows(whole) == rows(chunks)  # no account has more than 60 training rows, some are dealt in chunks
+    few = individual.individual_models(sample, options=options, fit_rows=12)
+    assert rows(few).keys() <= rows(whole).keys()
+    failed = lambda r: {x[KEY] for x in r.failures.collect()}
+    one_class = {r[KEY] for r in sample.filter("n_lapses = 0").select(KEY).distinct().collect()}
+    assert one_class and one_class <= failed(whole) == failed(chunks) and one_class <= failed(few)
+    assert all(":" in x["reason"] for x in whole.failures.collect())
+
+
+def test_holdouts_store_one_table(spark, sf, monkeypatch):
+    """What is written doesn't grow with the number of groups."""
+    some = cohort(inputs.clean(spark, sf), at_least=40, outcomes="mixed")
+    names = []
+    monkeypatch.setattr(holdout, "materialize", lambda df, name: names.append(name) or materialize(df, name))
+    monkeypatch.setattr(pooled, "scratch_path", lambda spark, name: names.append(name) or scratch_path(spark, name))
+    for groups in (2, 4):
+        holdout.holdout_scores(some, groups=groups, params=FOREST | {"trees": 1}, max_depth=2)
+    assert names == ["holdout", "holdout"]
+
+
+def test_parts_are_deleted(spark, sf, tmp_path):
+    rows = pooled.prepare(inputs.sample(spark, sf), Design(), folds=2)
+    train = pooled.resampled(rows.filter("split = 'training'"), 2, Design())
+    paths = [p.path for p in (*train.without_fold, train.whole)]
+    assert all(spark.read.parquet(p).count() for p in paths)
+    train.close()
+    from pathlib import Path
+    assert not any(Path(p).exists() for p in paths)
+
+
+def test_scaler_learns_before_resampling(spark, sf):
+    rows = pooled.prepare(inputs.sample(spark, sf), Design(), folds=2).filter("split = 'training'")
+    fitted = pooled.part(rows, Design(), downsample).recipe.stages[1]
+    want = rows.agg(F.avg("craving_severity"), F.stddev_samp("craving_severity")).first()
+    at = list(Design().numeric).index("craving_severity")
+    assert fitted.mean[at] == pytest.approx(want[0]) and fitted.std[at] == pytest.approx(want[1])
+
+
+def test_grid_fills_every_stratum():
+    from diarist.plans.grid import RANGES, SIZES, param_grid
+
+    for model, size in SIZES.items():
+        grid = param_grid(model, 47)
+        assert len(grid) == size and [p["param_id"] for p in grid] == list(range(size))
+        for name, (kind, low, high) in RANGES[model].items():
+            if kind == "real":
+                assert sorted(int((p[name] - low) / (high - low) * size) for p in grid) == list(range(size))
