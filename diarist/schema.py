@@ -1,25 +1,43 @@
 """Column names, level lists and the raw schema of a craving diary."""
 
-from pyspark.sql import types as T
-
 KEY = "account_id"
 TIME = "adjusted_craving_record_created"
 OUTCOME = "craving_did_smoke"
 ORDINAL = "entry_ordinal"
 
 # The diary's column names and category levels.
-ENV = ["alone", "colleagues", "family", "friends", "partner", "strangers"]
-OCCUPATION = [
-    "at_bar_or_event", "chatting", "coffee_or_tea", "drinking", "driving",
-    "going_to_bed", "just_eaten", "just_had_sex", "reading", "relaxing",
-    "taking_a_break", "thinking", "waking_up", "working", "other",
+FLAGS = [
+    "craving_env_alone",
+    "craving_env_colleagues",
+    "craving_env_family",
+    "craving_env_friends",
+    "craving_env_partner",
+    "craving_env_strangers",
+    "craving_occupation_at_bar_or_event",
+    "craving_occupation_chatting",
+    "craving_occupation_coffee_or_tea",
+    "craving_occupation_drinking",
+    "craving_occupation_driving",
+    "craving_occupation_going_to_bed",
+    "craving_occupation_just_eaten",
+    "craving_occupation_just_had_sex",
+    "craving_occupation_reading",
+    "craving_occupation_relaxing",
+    "craving_occupation_taking_a_break",
+    "craving_occupation_thinking",
+    "craving_occupation_waking_up",
+    "craving_occupation_working",
+    "craving_occupation_other",
+    "craving_feeling_annoyed",
+    "craving_feeling_anxious",
+    "craving_feeling_bored",
+    "craving_feeling_down",
+    "craving_feeling_happy",
+    "craving_feeling_hungry",
+    "craving_feeling_lonely",
+    "craving_feeling_stressed",
+    "craving_feeling_other",
 ]
-FEELING = ["annoyed", "anxious", "bored", "down", "happy", "hungry", "lonely", "stressed", "other"]
-FLAGS = (
-    [f"craving_env_{x}" for x in ENV]
-    + [f"craving_occupation_{x}" for x in OCCUPATION]
-    + [f"craving_feeling_{x}" for x in FEELING]
-)
 RAW_COLUMNS = [
     "account_id", "quit_date", "timezone_offset", "cigs_per_day", "time_to_first_cig",
     "craving_record_created", "craving_date", "craving_severity", "craving_did_smoke",
@@ -44,13 +62,5 @@ MODELS = ["rf", "elnet", "svm", "xgb"]
 METRICS = ["sens", "spec", "accuracy", "roc_auc"]
 
 RAW_TIMES = ["quit_date", "craving_record_created", "craving_date"]
-_INTS = {"timezone_offset", "cigs_per_day", "craving_severity"}
-
 
-def raw_schema() -> T.StructType:
-    """Schema of the text form: an ordinal, then the forty diary columns."""
-    fields = [T.StructField(ORDINAL, T.LongType())]
-    fields += [
-        T.StructField(c, T.IntegerType() if c in _INTS else T.StringType()) for c in RAW_COLUMNS
-    ]
-    return T.StructType(fields)
+RAW_INTS = ["timezone_offset", "cigs_per_day", "craving_severity"]

@@ -5,15 +5,22 @@ from pyspark.sql import functions as F
 
 from diarist.functions.times import parse_time
 from diarist.operators.filters import require
-from diarist.schema import RAW_TIMES, raw_schema
+from diarist.schema import ORDINAL, RAW_COLUMNS, RAW_INTS, RAW_TIMES
 
 
 def scan_diary(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    """Read a raw diary. CSV text has a header, ``NA`` for missing numbers, and text times."""
+    """Read a raw diary. CSV text has a header, ``NA`` for missing numbers, and text times.
+
+    Columns are taken by name and further ones ignored. A diary without ordinals gets them as it is
+    read, distinct and rising along each file, without a sort.
+    """
+    reader = spark.read.format(fmt)
     if fmt == "csv":
-        reader = spark.read.schema(raw_schema()).option("header", True).option("nullValue", "NA")
-        return reader.option("enforceSchema", False).csv(path)
-    return spark.read.format(fmt).load(path)
+        reader = reader.option("header", True).option("nullValue", "NA")
+    df = reader.load(path)
+    ordinal = F.col(ORDINAL).cast("bigint") if ORDINAL in df.columns else F.monotonically_increasing_id()
+    columns = [F.col(c).cast("int").alias(c) if c in RAW_INTS else F.col(c) for c in RAW_COLUMNS]
+    return df.select(ordinal.alias(ORDINAL), *columns)
 
 
 def parse_times(df: DataFrame, columns=tuple(RAW_TIMES)) -> DataFrame:
