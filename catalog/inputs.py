@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from diarist.operators import compare, evaluate
 from diarist.operators.features import dummies
+from diarist.operators.resample import hex_digit
 from diarist.plans.clean import Rules, clean_diary, cohort, intake
 from diarist.schema import FLAGS, KEY, MODELS, ORDINAL, OUTCOME
 from diarist.scratch import scratch_path
@@ -91,7 +92,7 @@ def _predictions(spark: SparkSession, sf: str) -> DataFrame:
     scores = {
         "rf": F.col("craving_severity") / 10,
         "elnet": F.when(F.col("craving_feeling_stressed") == "true", 0.5).otherwise(0.2),
-        "svm": (F.col(ORDINAL) % 7) / 7,
+        "svm": hex_digit(F.md5(F.col(ORDINAL).cast("string")), 1, 12) / F.lit(float(16**12)),
         "xgb": F.when(F.col("n_entries") >= 25, 0.5),
     }
     cells = F.explode(F.array(*[
@@ -129,7 +130,7 @@ def group_scores(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.roc_auc(rf, [KEY]).filter("auc IS NOT NULL")
 
 
-FEATURES = ["prior_event_lapse"] + FLAGS + ["wkday_craving", "time_of_day"]
+FEATURES = ["prior_event_lapse"] + FLAGS + ["time_to_first_cig", "wkday_craving", "time_of_day"]
 
 
 def importance(spark: SparkSession, sf: str) -> DataFrame:
@@ -138,7 +139,11 @@ def importance(spark: SparkSession, sf: str) -> DataFrame:
 
 def _importance(spark: SparkSession, sf: str) -> DataFrame:
     """(account_id, model, variable, importance): how each indicator differs by outcome."""
-    indicators = dummies(FEATURES) | {"craving_severity": F.col("craving_severity") / 10}
+    indicators = dummies(FEATURES) | {
+        "craving_severity": F.col("craving_severity") / 10, "cigs_per_day": F.col("cigs_per_day") / 200,
+        "days_since_qd": F.col("days_since_qd") / 100,
+        "mins_since_prev_rep": F.coalesce(F.col("mins_since_prev_rep"), F.lit(0)) / 100000,
+    }
     df = sample(spark, sf).select(KEY, OUTCOME, *[c.alias(n) for n, c in indicators.items()])
     lapse = F.col(OUTCOME) == "true"
     zero = F.lit(0.0)

@@ -17,6 +17,15 @@ def cols(names):
     return ", ".join(names)
 
 
+def quotient(part, whole):
+    return f"({part})::DOUBLE / nullif({whole}, 0)"
+
+
+def rnd(body, columns, digits=6):
+    """``body`` with some columns rounded, as the last step."""
+    return f"SELECT * REPLACE ({cols(f'round_even({c}, {digits}) AS {c}' for c in columns)}) FROM ({body})"
+
+
 def share(part, whole, digits=6):
     """Half-even quotient; scaled first so that exact halves stay exact."""
     return f"round_even(({part}) * 1e{digits} / nullif({whole}, 0), 0) / 1e{digits}"
@@ -39,7 +48,7 @@ CTES = {}
 CTES["ev"] = """
  SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events"""
 CTES["raw"] = f"""
- SELECT event_id AS entry_ordinal, concat('u', CAST(user_id AS VARCHAR)) AS account_id,
+ SELECT event_id + nr * 1000000000000 AS entry_ordinal, concat('u', CAST(user_id AS VARCHAR)) AS account_id,
   CASE WHEN user_id % 11 = 0 THEN TIMESTAMP '2023-10-20 00:00:00'
        ELSE TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(user_id % 20 - 3 AS INT)) END AS quit_date,
   CASE WHEN user_id % 4 = 0 THEN NULL ELSE CAST((user_id % 4 - 2) * 3600 AS INT) END AS timezone_offset,
@@ -48,13 +57,14 @@ CTES["raw"] = f"""
        ELSE '<= 5' END AS time_to_first_cig,
   ts AS craving_record_created,
   CASE WHEN k = 7 THEN NULL ELSE ts - to_minutes(CAST(k * 20 - 30 AS INT)) END AS craving_date,
-  CAST(1 + k % 10 AS INT) AS craving_severity,
-  CASE WHEN k = 99 THEN '' WHEN user_id % 13 = 0 THEN 'false' WHEN user_id % 29 = 5 THEN 'true'
+  CAST(1 + (k + nr) % 10 AS INT) AS craving_severity,
+  CASE WHEN k = 99 THEN '' WHEN nr = 1 THEN CASE WHEN value > 70 THEN 'true' ELSE 'false' END
+       WHEN user_id % 13 = 0 THEN 'false' WHEN user_id % 29 = 5 THEN 'true'
        WHEN event_type = 'error' AND (value > 40 OR k % 10 >= 5) THEN 'true'
        WHEN value > 150 THEN 'true' ELSE 'false' END AS craving_did_smoke,
   CASE WHEN k % 5 = 0 THEN 'true' ELSE 'false' END AS did_someone_smoke,
   {cols(_flag_sql(i, n) for i, n in enumerate(FLAGS))}
- FROM (SELECT * FROM ev UNION ALL SELECT * FROM ev WHERE event_id % 50 = 0)"""
+ FROM (SELECT *, 0 AS nr FROM ev UNION ALL SELECT *, 1 FROM ev WHERE event_id % 50 = 0)"""
 CTES["adj"] = """
  SELECT *, quit_date + to_seconds(coalesce(timezone_offset, 0)) AS adjusted_quit_date,
   craving_record_created + to_seconds(coalesce(timezone_offset, 0)) AS adjusted_craving_record_created,
@@ -104,7 +114,7 @@ CTES["pred"] = """
  UNION ALL SELECT entry_ordinal, account_id, CAST(craving_did_smoke = 'true' AS INT), 'elnet',
   CASE WHEN craving_feeling_stressed = 'true' THEN 0.5::DOUBLE ELSE 0.2::DOUBLE END FROM c20
  UNION ALL SELECT entry_ordinal, account_id, CAST(craving_did_smoke = 'true' AS INT), 'svm',
-  (entry_ordinal % 7) / 7.0::DOUBLE FROM c20
+  ('0x' || substr(md5(CAST(entry_ordinal AS VARCHAR)), 1, 12))::BIGINT / 281474976710656.0::DOUBLE FROM c20
  UNION ALL SELECT entry_ordinal, account_id, CAST(craving_did_smoke = 'true' AS INT), 'xgb', 0.5::DOUBLE
   FROM c20 WHERE n_entries >= 25"""
 
@@ -112,9 +122,9 @@ CTES["pred"] = """
 def class_metrics(table, keys):
     by = cols(keys)
     return f"""
- SELECT {by}, {share("count(*) FILTER (label = 1 AND score >= 0.5)", "count(*) FILTER (label = 1)")} AS sens,
-  {share("count(*) FILTER (label = 0 AND score < 0.5)", "count(*) FILTER (label = 0)")} AS spec,
-  {share("count(*) FILTER ((label = 1) = (score >= 0.5))", "count(*)")} AS accuracy
+ SELECT {by}, {quotient("count(*) FILTER (label = 1 AND score >= 0.5)", "count(*) FILTER (label = 1)")} AS sens,
+  {quotient("count(*) FILTER (label = 0 AND score < 0.5)", "count(*) FILTER (label = 0)")} AS spec,
+  {quotient("count(*) FILTER ((label = 1) = (score >= 0.5))", "count(*)")} AS accuracy
  FROM {table} GROUP BY {by}"""
 
 
@@ -123,10 +133,9 @@ def pairwise_auc(table, keys):
     so that a value halfway between two digits stays there."""
     by = cols(keys)
     return f"""
- SELECT {by}, n_pos, n_neg, round_even(auc, 6) AS auc,
-  CASE WHEN v IS NOT NULL THEN round_even(greatest(least(auc - 1.959964 * sqrt(greatest(v, 0)), 1), 0), 6) END AS ci_lower,
-  CASE WHEN v IS NOT NULL THEN round_even(greatest(least(auc + 1.959964 * sqrt(greatest(v, 0)), 1), 0), 6) END AS ci_upper,
-  auc AS auc_exact
+ SELECT {by}, n_pos, n_neg, auc,
+  CASE WHEN v IS NOT NULL THEN greatest(least(auc - 1.959964 * sqrt(greatest(v, 0)), 1), 0) END AS ci_lower,
+  CASE WHEN v IS NOT NULL THEN greatest(least(auc + 1.959964 * sqrt(greatest(v, 0)), 1), 0) END AS ci_upper
  FROM (SELECT {by}, count(*) FILTER (label = 1) AS n_pos, count(*) FILTER (label = 0) AS n_neg,
    sum(wins) FILTER (label = 1) / nullif(max(m) * max(n), 0) AS auc,
    var_samp(v10) FILTER (label = 1 AND n > 0) / nullif(count(*) FILTER (label = 1), 0)
@@ -153,7 +162,7 @@ def curve(table, keys):
     by = cols(keys)
     return f"""
  SELECT {by}, threshold, specificity, sensitivity FROM (
-  SELECT DISTINCT {by}, score AS threshold, {share("n - at_neg", "n")} AS specificity, {share("at_pos", "m")} AS sensitivity
+  SELECT DISTINCT {by}, score AS threshold, {quotient("n - at_neg", "n")} AS specificity, {quotient("at_pos", "m")} AS sensitivity
   FROM (SELECT *, count(*) FILTER (label = 1) OVER (PARTITION BY {by}) AS m,
     count(*) FILTER (label = 0) OVER (PARTITION BY {by}) AS n,
     count(*) FILTER (label = 0) OVER (PARTITION BY {by} ORDER BY score DESC) AS at_neg,
@@ -189,8 +198,10 @@ def indicators(columns):
     }
 
 
-_IMP = indicators(["prior_event_lapse"] + FLAGS + ["wkday_craving", "time_of_day"]) | {
-    "craving_severity": "craving_severity / 10.0::DOUBLE"
+_IMP = indicators(["prior_event_lapse"] + FLAGS + ["time_to_first_cig", "wkday_craving", "time_of_day"]) | {
+    "craving_severity": "craving_severity / 10.0::DOUBLE", "cigs_per_day": "cigs_per_day / 200.0::DOUBLE",
+    "days_since_qd": "days_since_qd / 100.0::DOUBLE",
+    "mins_since_prev_rep": "coalesce(mins_since_prev_rep, 0) / 100000.0::DOUBLE",
 }
 CTES["imp"] = f"""
  SELECT account_id, variable, model, round_even(CASE model WHEN 'rf' THEN abs(r_on - r_off) WHEN 'elnet' THEN r_on
@@ -234,8 +245,8 @@ CTES["shifted"] = """
  FROM pred JOIN folded USING (row_id), (SELECT unnest([0, 1])::INT AS param_id)"""
 CTES["tun"] = metric_rows("shifted", ["model", "param_id", "fold"])
 CTES["collected"] = """
- SELECT model, param_id, metric, round_even(avg(estimate), 6) AS mean, count(estimate) AS n,
-  round_even(stddev_samp(estimate) / sqrt(count(estimate)), 6) AS std_err
+ SELECT model, param_id, metric, avg(estimate) AS mean, count(estimate) AS n,
+  stddev_samp(estimate) / sqrt(count(estimate)) AS std_err
  FROM tun GROUP BY model, param_id, metric"""
 _DEPENDS = {name: set(re.findall(r"\b[a-z0-9]+\b", text)) & set(CTES) - {name} for name, text in CTES.items()}
 
@@ -257,7 +268,8 @@ def with_ctes(body):
 
 
 SQL = {}
-SQL["scan_diary"] = f"SELECT entry_ordinal, {cols(RAW_COLUMNS)} FROM raw"
+SQL["scan_diary"] = f"SELECT {cols(RAW_COLUMNS)} FROM raw"
+SQL["write_if_absent"] = 'SELECT account_id, count(*) AS "count" FROM clean GROUP BY account_id'
 SQL["read_clean"] = f"SELECT entry_ordinal, {cols(CLEAN_COLUMNS)} FROM clean"
 SQL["clean_diary"] = (
     f"SELECT entry_ordinal, {cols(CLEAN_COLUMNS)}, next_event_lapse, n_entries, n_lapses FROM clean"
@@ -569,15 +581,36 @@ SQL["normalize"] = f"""SELECT {ID}, {cols(
     f"round_even(({x} - m_{c}) / s_{c}, 6) AS {c}" for c, x in zip(NUMERIC, _N))} FROM c20,
  (SELECT {cols(f"avg({x}) AS m_{c}, stddev_samp({x}) AS s_{c}" for c, x in zip(NUMERIC, _N))}
   FROM split WHERE split = 'training')"""
+SQL["recipe_statistics"] = f"""SELECT fold, variable, round_even(mean, 6) AS mean, round_even(sd, 6) AS sd
+ FROM (SELECT held AS fold, unnest({NUMERIC}) AS variable, unnest([{cols(f"avg({x})" for x in _N)}]) AS mean,
+   unnest([{cols(f"stddev_samp({x})" for x in _N)}]) AS sd
+  FROM {ranked("(SELECT * FROM split WHERE split = 'training')", [], "555:fold")},
+   (SELECT unnest(range(-1, 10))::INT AS held) WHERE (draw_rank - 1) % 10 != held GROUP BY held)"""
+SQL["drop_zero_variance"] = f"SELECT {ID}, {cols(FLAGS)} FROM c20"
+
+
+def roles_sql(moved):
+    held = f"""SELECT account_id, CAST((draw_rank - 1) % 10 AS INT) AS holdout
+   FROM {ranked("(SELECT DISTINCT account_id FROM c20)", [], "555:holdout", "account_id")}"""
+    return f"""SELECT holdout, role, craving_did_smoke, CAST(count(*) FILTER (used) AS BIGINT) AS n
+ FROM (SELECT g.holdout, r.role, c.craving_did_smoke,
+   CASE r.role WHEN 'testing' THEN h.holdout = g.holdout AND NOT {moved}
+    ELSE h.holdout != g.holdout OR {moved} END AS used
+  FROM (SELECT * FROM hyb) c JOIN ({held}) h USING (account_id), (SELECT unnest(range(10))::INT AS holdout) g,
+   (SELECT unnest(['training', 'testing']) AS role) r) GROUP BY ALL"""
+
+
+SQL["holdout_roles"] = roles_sql("false")
+SQL["holdout_roles_hybrid"] = roles_sql("c.role = 'training'")
 SQL["zero_variance"] = f"""SELECT account_id, unnest({[f"{c}_true" for c in FLAGS] + ["cigs_per_day"]}) AS variable,
  unnest([{cols(f"count(DISTINCT {c}) = 1" for c in FLAGS + ["cigs_per_day"])}]) AS constant
  FROM c20 GROUP BY account_id"""
 SQL["class_metrics"] = class_metrics("pred", ["model"])
 SQL["roc_auc"] = "SELECT account_id, model, auc FROM auc"
-SQL["auc_ci"] = f"SELECT * EXCLUDE (auc_exact) FROM ({pairwise_auc('pred', ['model'])})"
-SQL["auc_ci_by_account"] = "SELECT * EXCLUDE (auc_exact) FROM auc"
+SQL["auc_ci"] = f"SELECT * FROM ({pairwise_auc('pred', ['model'])})"
+SQL["auc_ci_by_account"] = "SELECT * FROM auc"
 SQL["auc_auto_direction"] = """SELECT account_id, model,
- CASE WHEN med_pos < med_neg THEN round_even(1 - auc_exact, 6) ELSE auc END AS auc
+ CASE WHEN med_pos < med_neg THEN 1 - auc ELSE auc END AS auc
  FROM auc JOIN (SELECT account_id, model, median(score) FILTER (label = 1) AS med_pos,
   median(score) FILTER (label = 0) AS med_neg FROM pred GROUP BY account_id, model) USING (account_id, model)"""
 SQL["roc_curve"] = f"""SELECT model, round_even(threshold, 6) AS threshold, specificity, sensitivity
@@ -589,8 +622,21 @@ SQL["select_best"] = """SELECT model, param_id, metric, mean, n, std_err FROM (S
  (PARTITION BY model ORDER BY mean DESC NULLS LAST, param_id) AS rn FROM collected WHERE metric = 'roc_auc') WHERE rn = 1"""
 
 
+# Columns that are rounded as the last step of a twin; other twins round where they divide.
+_ROUNDED = {
+    "class_metrics": ["sens", "spec", "accuracy"], "roc_auc": ["auc"], "auc_ci": ["auc", "ci_lower", "ci_upper"],
+    "auc_ci_by_account": ["auc", "ci_lower", "ci_upper"], "auc_auto_direction": ["auc"],
+    "roc_curve": ["specificity", "sensitivity"], "roc_panels": ["specificity", "sensitivity"],
+    "combine_curves": ["sensitivity"], "metrics_wide": METRICS, "best_model_per_account": METRICS,
+    "rank_models": METRICS, "metrics_long": ["value"], "group_mean_column": ["value"], "keep_metrics": ["estimate"],
+    "model_names": ["estimate"], "combine_algorithms": MODELS, "rename_cols": ["group_auc"], "tag_column": ["auc"],
+    "compare_to_group": ["model_auc", "group_auc"], "collect_metrics": ["mean", "std_err"],
+    "select_best": ["mean", "std_err"], "time_diff": ["mins", "hours", "days", "weeks"],
+}
+
+
 def oracles():
-    out = {name: with_ctes(body) for name, body in SQL.items()}
+    out = {name: with_ctes(rnd(body, _ROUNDED[name]) if name in _ROUNDED else body) for name, body in SQL.items()}
     for name, args in _HIST.items():
         out[name] = with_ctes(histogram_sql(*args))
     for name, keys in (("upsample", []), ("upsample_by_account", ["account_id"])):

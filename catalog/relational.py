@@ -1,11 +1,15 @@
 """Queries that have a SQL twin."""
 
+from functools import wraps
+
 from pyspark.sql import functions as F
 
 from catalog import inputs
+from catalog.rounding import rounded
 from diarist.functions import labels, times
 from diarist.operators import cohort, compare, describe, evaluate, features, filters, resample, sequence
 from diarist.plans import clean as plan
+from diarist.plans import holdout, pooled
 from diarist.plans.clean import adjusted_times
 from diarist.schema import FLAGS, KEY, LEVELS, ORDINAL, OUTCOME, RAW_COLUMNS, TIME
 from diarist.scratch import scratch_path
@@ -15,7 +19,8 @@ QUERIES = {}
 
 
 def query(fn):
-    QUERIES[fn.__name__] = fn
+    """Register a query; its result is rounded, what it is computed from isn't."""
+    QUERIES[fn.__name__] = wraps(fn)(lambda spark, sf: rounded(fn(spark, sf)))
     return fn
 
 
@@ -28,11 +33,23 @@ def _from(source, columns):
 
 @query
 def scan_diary(spark, sf):
+    """A diary as text, its columns in another order and one more, without ordinals."""
     path = scratch_path(spark, "csv")
-    inputs.raw(spark, sf).write.option("header", True).option("nullValue", "NA").option(
+    plain = inputs.raw(spark, sf).select(*reversed(RAW_COLUMNS), F.lit("x").alias("further"))
+    plain.write.option("header", True).option("nullValue", "NA").option(
         "timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS"
     ).csv(path)
-    return tables.parse_times(tables.scan_diary(spark, path))
+    return tables.parse_times(tables.scan_diary(spark, path)).drop(ORDINAL)
+
+
+@query
+def write_if_absent(spark, sf):
+    """The table behind a figure: the second write leaves the first one."""
+    path = scratch_path(spark, "figure")
+    counts = describe.entries_per_account(inputs.clean(spark, sf))
+    tables.write_if_absent(counts, path)
+    tables.write_if_absent(counts.limit(0), path)
+    return tables.read_table(spark, path)
 
 
 @query
@@ -50,7 +67,7 @@ def roc_panels(spark, sf):
         curves = evaluate.roc_curve(scored.filter(keep), ["model"])
         tables.write_table(filters.tag(curves, "analysis", analysis), path, ["analysis"], "append")
     return tables.scan_roc_panels(spark, path).select(
-        "analysis", "model", F.bround("threshold", 6).alias("threshold"), "specificity", "sensitivity"
+        "analysis", "model", "threshold", "specificity", "sensitivity"
     )
 
 
@@ -292,6 +309,18 @@ def holdout_groups(spark, sf):
     )
 
 
+@query
+def holdout_roles(spark, sf):
+    """Rows each fit of ten held-out groups learns from and is tested on."""
+    return holdout.holdout_roles(inputs.sample(spark, sf).select(ORDINAL, KEY, OUTCOME), 10)
+
+
+@query
+def holdout_roles_hybrid(spark, sf):
+    """The same, with 20% of each held-out account's entries in training."""
+    return holdout.holdout_roles(inputs.sample(spark, sf).select(ORDINAL, KEY, OUTCOME), 10, 0.2)
+
+
 # Aggregations
 
 @query
@@ -445,9 +474,7 @@ def histogram_by_model(spark, sf):
 @query
 def box_stats(spark, sf):
     box = describe.box_stats(inputs.wide(spark, sf), "roc_auc", ["model"])
-    return box.select("model", *[
-        F.bround(c, 6).alias(c) for c in ("q1", "median", "q3", "whisker_low", "whisker_high")
-    ], "outliers")
+    return box.select("model", "q1", "median", "q3", "whisker_low", "whisker_high", "outliers")
 
 
 @query
@@ -538,7 +565,7 @@ def entries_window(spark, sf):
 @query
 def lapse_rate_window(spark, sf):
     df = sequence.account_shares(filters.dedup_entries(inputs.entries(spark, sf)))
-    return _from(df, ["n_entries", *[F.bround(c, 6).alias(c) for c in ("prop_lapses", "prop_non_lapses")]])
+    return _from(df, ["n_entries", "prop_lapses", "prop_non_lapses"])
 
 
 @query
@@ -655,7 +682,7 @@ def poly_contrast(spark, sf):
     df = inputs.sample(spark, sf).select(ORDINAL, KEY, "wkday_craving")
     out = features.dummy_encode(df, ["wkday_craving"], ["wkday_craving"])
     names = list(features.poly_contrast("wkday_craving"))
-    return _from(out, [F.bround(c, 6).alias(c) for c in names])
+    return _from(out, names)
 
 
 @query
@@ -663,7 +690,7 @@ def normalize(spark, sf):
     df = filters.impute_zero(inputs.sample(spark, sf)).select(ORDINAL, KEY, *features.NUMERIC)
     split = resample.train_test_split(df)
     out = features.normalize(split, features.NUMERIC, split.filter("split = 'training'"))
-    return _from(out, [F.bround(c, 6).alias(c) for c in features.NUMERIC])
+    return _from(out, features.NUMERIC)
 
 
 @query
@@ -673,6 +700,22 @@ def zero_variance(spark, sf):
     return features.zero_variance(encoded, [f"{c}_true" for c in FLAGS] + ["cigs_per_day"], [KEY])
 
 
+@query
+def drop_zero_variance(spark, sf):
+    """The indicators that vary over the sample, beside those that can't."""
+    df = inputs.sample(spark, sf).select(
+        ORDINAL, KEY, *FLAGS, F.lit(1).alias("one"), F.lit(None).cast("int").alias("missing")
+    )
+    return features.drop_zero_variance(df, [*FLAGS, "one", "missing"])
+
+
+@query
+def recipe_statistics(spark, sf):
+    """Means and standard deviations that the scalers of ten folds and of the final fit hold."""
+    rows = pooled.prepare(inputs.sample(spark, sf), pooled.Design(), folds=10)
+    return pooled.recipe_statistics(rows, pooled.Design(), 10)
+
+
 # Evaluation
 
 @query
@@ -704,17 +747,14 @@ def auc_auto_direction(spark, sf):
 
 @query
 def roc_curve(spark, sf):
-    return evaluate.roc_curve(inputs.predictions(spark, sf), ["model"]).withColumn(
-        "threshold", F.bround("threshold", 6)
-    )
+    return evaluate.roc_curve(inputs.predictions(spark, sf), ["model"])
 
 
 @query
 def auc_summary(spark, sf):
     """Median and range of the AUC over accounts."""
     auc = evaluate.roc_auc(inputs.predictions(spark, sf).filter("model = 'rf'"), [KEY])
-    middle = describe.quantiles(auc, "auc", {"min": 0, "median": 0.5, "max": 1})
-    return middle.select(*[F.bround(c, 6).alias(c) for c in ("min", "median", "max")])
+    return describe.quantiles(auc, "auc", {"min": 0, "median": 0.5, "max": 1})
 
 
 @query

@@ -58,34 +58,28 @@ def combine_algorithms(metrics: DataFrame, models: Sequence[str] = MODELS) -> Da
 
 def metric_summary(metrics: DataFrame) -> DataFrame:
     """Mean, sd, median, min, max of each metric, per model and (model null) over all rows."""
-    long = metrics.select("model", "metric", "estimate")
-
-    def summary(keys: list[str]) -> DataFrame:
-        plain = long.groupBy(*keys).agg(
-            F.avg("estimate").alias("mean"), F.stddev_samp("estimate").alias("sd"),
-            F.min("estimate").alias("min"), F.max("estimate").alias("max"),
-        )
-        middle = quantiles(long, "estimate", {"median": 0.5}, keys)
-        return plain.join(middle, keys, "left")
-
-    both = summary(["model", "metric"]).unionByName(
-        summary(["metric"]).withColumn("model", F.lit(None).cast("string"))
-    )
+    whole = F.lit("")  # stands for all models, since joins pass over null keys
+    models = F.explode(F.array(F.col("model"), whole)).alias("model")
+    long = metrics.select(models, "metric", "estimate")
+    keys = ["model", "metric"]
+    plain = long.groupBy(*keys).agg(F.avg("estimate").alias("mean"), F.stddev_samp("estimate").alias("sd"))
+    ranked = quantiles(long, "estimate", {"min": 0, "median": 0.5, "max": 1}, keys)
+    both = plain.join(ranked, keys, "left").withColumn("model", F.nullif("model", whole))
     return both.groupBy("model").agg(*[
-        F.bround(F.max(F.when(F.col("metric") == m, F.col(s))), 6).alias(f"{s}_{m}")
+        F.max(F.when(F.col("metric") == m, F.col(s))).alias(f"{s}_{m}")
         for m in METRICS for s in ("mean", "sd", "median", "min", "max")
     ])
 
 
 def metric_median(long: DataFrame, value: str = "value") -> DataFrame:
     middle = quantiles(long, value, {"median": 0.5}, ["metric"])
-    return middle.select("metric", F.bround("median", 6).alias("median"))
+    return middle.select("metric", "median")
 
 
 def group_mean_column(long: DataFrame, value: str = "value", key: str = "metric") -> DataFrame:
-    """The mean of each metric beside its rows. One row per metric is broadcast."""
-    means = long.groupBy(key).agg(F.bround(F.avg(value), 6).alias("mean"))
-    return long.join(F.broadcast(means), key, "left")
+    """The mean of each metric beside its rows."""
+    means = long.groupBy(key).agg(F.avg(value).alias("mean"))
+    return long.join(means, key, "left")
 
 
 # The lowest acceptable value of each metric.
@@ -168,6 +162,6 @@ def combined_roc(curves: DataFrame) -> DataFrame:
     return curves.select(
         lookup(F.col("model"), MODEL_LABELS).alias("model"),
         level_order(F.col("model"), names).alias("model_order"),
-        F.bround(1 - F.col("specificity"), 6).alias("false_positive_rate"),
+        (1 - F.col("specificity")).alias("false_positive_rate"),
         "sensitivity",
     )

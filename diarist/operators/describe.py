@@ -12,9 +12,10 @@ from diarist.operators.sequence import last_entry
 from diarist.schema import KEY, LEVELS, OUTCOME, TIME
 
 
-def ratio(part, whole, digits: int = 6) -> Column:
-    """Half-even rounded quotient; null where ``whole`` is 0."""
-    return F.bround(F.try_divide(part, whole), digits)
+def ratio(part, whole, digits: int | None = None) -> Column:
+    """Quotient; null where ``whole`` is 0. ``digits`` rounds it half to even, as some reports do."""
+    quotient = F.try_divide(part, whole)
+    return quotient if digits is None else F.bround(quotient, digits)
 
 
 def share_of_total(counts: DataFrame, n: str = "n", share: str = "prop") -> DataFrame:
@@ -45,9 +46,7 @@ def flag_tabulation(df: DataFrame, flag: Column, key: str = KEY) -> DataFrame:
 
 
 def mean_sd(df: DataFrame, column: str) -> DataFrame:
-    return df.agg(
-        F.bround(F.avg(column), 6).alias("mean"), F.bround(F.stddev_samp(column), 6).alias("sd")
-    )
+    return df.agg(F.avg(column).alias("mean"), F.stddev_samp(column).alias("sd"))
 
 
 def quantiles(
@@ -85,16 +84,11 @@ def quantiles(
     return ranked.groupBy(*keys).agg(*parts).select(*keys, *result)
 
 
-def median_range(df: DataFrame, column: str, approximate: bool = False) -> DataFrame:
-    """Median, minimum, maximum of a column with few distinct values (counts, whole minutes).
-
-    ``median`` holds one counter per distinct value; for many distinct values use ``quantiles``.
-    """
-    middle = F.percentile_approx(column, 0.5, 10000) if approximate else F.median(column)
-    return df.agg(
-        F.bround(middle.cast("double"), 6).alias("median"),
-        F.min(column).alias("min"), F.max(column).alias("max"),
-    )
+def median_range(df: DataFrame, column: str) -> DataFrame:
+    """Median, minimum, maximum of a column; null without values."""
+    kind = df.schema[column].dataType
+    found = quantiles(df, column, {"min": 0, "median": 0.5, "max": 1})
+    return found.select("median", F.col("min").cast(kind).alias("min"), F.col("max").cast(kind).alias("max"))
 
 
 def account_baselines(df: DataFrame, key: str = KEY, time: str = TIME) -> DataFrame:
@@ -120,10 +114,9 @@ def sample_characteristics(baselines: DataFrame) -> DataFrame:
     """
     return by_sample(baselines).groupBy("at_least").agg(
         F.count("*").alias("accounts"), F.sum("n").alias("entries"),
-        F.bround(F.median("n"), 6).alias("median_entries"),
+        F.median("n").alias("median_entries"),
         F.min("n").alias("min_entries"), F.max("n").alias("max_entries"),
-        F.bround(F.avg("cigs_per_day"), 6).alias("mean_cigs"),
-        F.bround(F.stddev_samp("cigs_per_day"), 6).alias("sd_cigs"),
+        F.avg("cigs_per_day").alias("mean_cigs"), F.stddev_samp("cigs_per_day").alias("sd_cigs"),
     )
 
 
@@ -170,12 +163,9 @@ def max_days_since_quit(df: DataFrame, key: str = KEY) -> DataFrame:
 
 
 def median_gap(df: DataFrame, key: str = KEY) -> DataFrame:
-    """Median minutes since the previous entry per account, 0 for its first one.
-
-    Gaps are whole minutes inside a study of some weeks, which bounds the distinct values.
-    """
-    gap = F.coalesce(F.col("mins_since_prev_rep"), F.lit(0.0))
-    return df.groupBy(key).agg(F.median(gap).alias("mins"))
+    """Median minutes since the previous entry per account, 0 for its first one."""
+    gaps = df.select(key, F.coalesce(F.col("mins_since_prev_rep"), F.lit(0.0)).alias("mins"))
+    return quantiles(gaps, "mins", {"mins": 0.5}, [key])
 
 
 def last_outcome(df: DataFrame, outcome: str = OUTCOME) -> DataFrame:
@@ -255,23 +245,20 @@ def histogram(
     ).select(*by, "_w", "_o", "_counts", F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin_nr"))
     return filled.select(
         *by, "bin_nr",
-        F.bround(F.col("_o") + (F.col("bin_nr") - 1) * F.col("_w"), 6).alias("x_min"),
-        F.bround(F.col("_o") + F.col("bin_nr") * F.col("_w"), 6).alias("x_max"),
+        (F.col("_o") + (F.col("bin_nr") - 1) * F.col("_w")).alias("x_min"),
+        (F.col("_o") + F.col("bin_nr") * F.col("_w")).alias("x_max"),
         F.coalesce(F.try_element_at("_counts", F.col("bin_nr")), F.lit(0)).alias("count"),
     )
 
 
 def box_stats(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
-    """Quartiles, and whiskers at the last values within 1.5 interquartile ranges of the box.
-
-    ``keys`` name few groups, such as models: their boxes are broadcast.
-    """
+    """Quartiles, and whiskers at the last values within 1.5 interquartile ranges of the box."""
     keys = list(keys)
     box = quantiles(df, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, keys)
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     x = F.col(value)
     inside = (x >= F.col("q1") - reach) & (x <= F.col("q3") + reach)
-    rows = df.filter(x.isNotNull()).join(F.broadcast(box), keys)
+    rows = df.filter(x.isNotNull()).join(box, keys)
     return rows.groupBy(*keys, "q1", "median", "q3").agg(
         F.min(F.when(inside, x)).alias("whisker_low"), F.max(F.when(inside, x)).alias("whisker_high"),
         F.count_if(~inside).alias("outliers"),

@@ -80,8 +80,8 @@ def auc_ci(
     half = F.when(variance.isNotNull(), half)
     clip = lambda x: F.when(x.isNotNull(), F.greatest(F.least(x, F.lit(1.0)), F.lit(0.0)))
     return sums.select(
-        *keys, "n_pos", "n_neg", F.bround(auc, 6).alias("auc"),
-        F.bround(clip(auc - half), 6).alias("ci_lower"), F.bround(clip(auc + half), 6).alias("ci_upper"),
+        *keys, "n_pos", "n_neg", auc.alias("auc"),
+        clip(auc - half).alias("ci_lower"), clip(auc + half).alias("ci_upper"),
     )
 
 
@@ -128,8 +128,8 @@ def metrics_long(df: DataFrame, keys: Sequence[str], threshold: float = 0.5) ->
 def collect_metrics(folds: DataFrame, keys: Sequence[str] = ("model", "param_id")) -> DataFrame:
     """Mean, number and standard error of each metric over the folds."""
     return folds.groupBy(*keys, "metric").agg(
-        F.bround(F.avg("estimate"), 6).alias("mean"), F.count("estimate").alias("n"),
-        F.bround(F.stddev_samp("estimate") / F.sqrt(F.count("estimate")), 6).alias("std_err"),
+        F.avg("estimate").alias("mean"), F.count("estimate").alias("n"),
+        (F.stddev_samp("estimate") / F.sqrt(F.count("estimate"))).alias("std_err"),
     )
 
 

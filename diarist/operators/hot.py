@@ -17,7 +17,7 @@ _WHOLE = -1  # part number of a group that is not cut
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], limit: int = HOT_ROWS) -> DataFrame:
-    """Keys with more than ``limit`` rows: at most rows / limit of them, so safe to broadcast."""
+    """Keys with more than ``limit`` rows: at most rows / limit of them. Spark broadcasts them if they are few."""
     return df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > limit).select(*keys)
 
 
@@ -28,7 +28,7 @@ def mark_parts(
     names = [f"_d{i}" for i in range(len(digits))]
     if hot is None:  # the whole table is one group
         return df.withColumns(dict(zip(names, digits))), names
-    flag = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+    flag = hot.withColumn("_hot", F.lit(True))
     out = df.join(flag, list(keys), "left")
     out = out.withColumns({
         n: F.when(F.col("_hot"), d).otherwise(F.lit(_WHOLE)) for n, d in zip(names, digits)
@@ -121,8 +121,7 @@ def number_digits(value: Column) -> list[Column]:
 
 def split_hot(df: DataFrame, keys: Sequence[str], hot: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows of the groups that one task can hold, and rows of the hot ones."""
-    flag = F.broadcast(hot)
-    return df.join(flag, list(keys), "left_anti"), df.join(flag, list(keys), "left_semi")
+    return df.join(hot, list(keys), "left_anti"), df.join(hot, list(keys), "left_semi")
 
 
 def neighbours(
@@ -130,7 +129,7 @@ def neighbours(
     hot_rows: DataFrame,
     keys: Sequence[str],
     order: str,
-    digit: Column,
+    digit: str,
     previous: dict[str, str],
     following: dict[str, str],
     counts: dict[str, Column],
@@ -140,7 +139,8 @@ def neighbours(
 
     ``previous`` and ``following`` map a new column to the column taken from the row before or
     after; ``counts`` maps a new column to a value summed over the group. ``order`` has no ties
-    inside a group. The two inputs come from ``split_hot``.
+    inside a group. The two inputs come from ``split_hot``; hot rows also have a column ``digit``
+    that never falls as ``order`` rises and says which part a row belongs to.
     """
     keys = list(keys)
 
@@ -155,7 +155,7 @@ def neighbours(
         })
 
     # Inside (group, part), marking the rows whose neighbour is in another part.
-    cut = hot_rows.withColumn("_d0", digit)
+    cut = hot_rows.withColumn("_d0", F.col(digit)).drop(digit)
     ordered = Window.partitionBy(*keys, "_d0").orderBy(order)
     parts = windows(cut, keys + ["_d0"]).withColumn("_last", F.lead(F.lit(1)).over(ordered).isNull())
 

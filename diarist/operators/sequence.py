@@ -8,13 +8,22 @@ from diarist.operators.filters import first_per_group
 from diarist.operators.hot import HOT_ROWS, hot_keys, neighbours, split_hot
 from diarist.schema import KEY, ORDINAL, OUTCOME, TIME
 
-SLOT_SECONDS = 3600  # a hot account is cut into one part per hour
+SLOT_SECONDS = 3600  # a hot account is cut into one part per hour, and a hot hour into one per second
 
 
 def time_slot(time: str = TIME, seconds: int = SLOT_SECONDS) -> Column:
-    """Slot number of a time, for cutting a hot account along its time axis."""
+    """Slot of a time, as the second it begins with."""
     start = F.lit("1900-01-01 00:00:00").cast("timestamp_ntz")
-    return F.floor(F.timestamp_diff("SECOND", start, F.col(time)) / seconds).cast("bigint")
+    return (F.floor(F.timestamp_diff("SECOND", start, F.col(time)) / seconds) * seconds).cast("bigint")
+
+
+def with_slots(rows: DataFrame, key: str, time: str, limit: int) -> DataFrame:
+    """Rows of hot accounts with ``_slot``: the hour, or the second where an hour has over ``limit`` rows."""
+    hourly = rows.withColumn("_slot", time_slot(time))
+    busy = hourly.groupBy(key, "_slot").agg(F.count("*").alias("_n")).filter(F.col("_n") > limit)
+    busy = busy.select(key, "_slot", F.lit(True).alias("_busy"))
+    slot = F.when(F.col("_busy"), time_slot(time, 1)).otherwise(F.col("_slot"))
+    return hourly.join(busy, [key, "_slot"], "left").withColumn("_slot", slot).drop("_busy")
 
 
 def sequence_features(
@@ -34,7 +43,7 @@ def sequence_features(
     if hot_rows is None:
         df, hot_rows = split_hot(df, [key], hot_keys(df, [key], limit))
     out = neighbours(
-        df, hot_rows, [key], time, time_slot(time),
+        df, with_slots(hot_rows, key, time, limit), [key], time, "_slot",
         previous={"_prev_time": time, "_prev_outcome": outcome},
         following={"_next_outcome": outcome},
         counts={"n_entries": F.lit(1), "n_lapses": F.when(F.col(outcome) == positive, 1).otherwise(0)},

@@ -62,7 +62,7 @@ def clean_diary(raw: DataFrame, rules: Rules = Rules()) -> DataFrame:
     hot = hot_keys(raw, [KEY], rules.hot_rows)
     ordinary, large = split_hot(intake(raw, rules), [KEY], hot)
     df = sequence_features(
-        filters.dedup_entries(ordinary.repartition(KEY)), filters.dedup_entries(large)
+        filters.dedup_entries(ordinary.repartition(KEY)), filters.dedup_entries(large), rules.hot_rows
     )
     df = calendar_fields(df).withColumn(
         "days_since_qd", days_since(F.col(TIME), F.col("adjusted_quit_date"))
@@ -148,7 +148,7 @@ def coverage_thresholds(
     all accounts in the raw diary."""
     at = lambda stage: [F.count_if(F.col(stage) >= k).alias(f"{stage}_{k}") for k in thresholds]
     totals = account_stages(raw, rules).agg(F.count("*").alias("all"), *at("recall_window"), *at("dedup"))
-    share = lambda c: F.bround(F.try_divide(F.col(c) * 100, "all"), 6)
+    share = lambda c: F.try_divide(F.col(c) * 100, "all")
     rows = F.explode(F.array(*[
         F.struct(
             F.lit(k).alias("at_least"),

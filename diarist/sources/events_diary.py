@@ -10,7 +10,7 @@ QUIT_FROM, QUIT_BEFORE = "2023-10-01 00:00:00", "2024-01-16 00:00:00"
 ENTRY_FROM = "2024-01-01 00:00:00"
 
 _BASE = {
-    ORDINAL: "event_id",
+    ORDINAL: "event_id + nr * 1000000000000",
     "account_id": "concat('u', CAST(user_id AS STRING))",
     "quit_date": """CASE WHEN user_id % 11 = 0 THEN TIMESTAMP_NTZ'2023-10-20 00:00:00'
         ELSE TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(CAST(user_id % 20 - 3 AS INT)) END""",
@@ -21,8 +21,9 @@ _BASE = {
     "craving_record_created": "ts",
     "craving_date": """CASE WHEN k = 7 THEN NULL
         ELSE ts - make_dt_interval(0, 0, CAST(k * 20 - 30 AS INT)) END""",
-    "craving_severity": "CAST(1 + k % 10 AS INT)",
-    "craving_did_smoke": """CASE WHEN k = 99 THEN '' WHEN user_id % 13 = 0 THEN 'false'
+    "craving_severity": "CAST(1 + (k + nr) % 10 AS INT)",
+    "craving_did_smoke": """CASE WHEN k = 99 THEN '' WHEN nr = 1 THEN CASE WHEN value > 70 THEN 'true' ELSE 'false' END
+        WHEN user_id % 13 = 0 THEN 'false'
         WHEN user_id % 29 = 5 THEN 'true'
         WHEN event_type = 'error' AND (value > 40 OR k % 10 >= 5) THEN 'true'
         WHEN value > 150 THEN 'true' ELSE 'false' END""",
@@ -37,13 +38,15 @@ def _flag(i: int, name: str) -> str:
 
 
 def events_diary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The raw diary of FIXTURES.md: one entry per event, and every 50th event once more."""
+    """The raw diary of FIXTURES.md: one entry per event, and every 50th event once more, later in
+    order, with another severity and often another outcome."""
     exprs = _BASE | {name: _flag(i, name) for i, name in enumerate(FLAGS)}
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     # One generator makes the copies and carries ``k``, so the JSON is parsed once per event.
     k = F.get_json_object("props", "$.k").cast("int")
-    copies = F.when(F.col("event_id") % 50 == 0, F.array(k, k)).otherwise(F.array(k))
+    twice = F.when(F.col("event_id") % 50 == 0, 1).otherwise(0)
+    entry = F.transform(F.sequence(F.lit(0), twice), lambda nr: F.struct(k.alias("k"), nr.alias("nr")))
     events = events.select(
-        "event_id", "user_id", "ts", "event_type", "value", F.explode(copies).alias("k")
-    )
+        "event_id", "user_id", "ts", "event_type", "value", F.explode(entry).alias("e")
+    ).select("*", "e.k", "e.nr")
     return events.selectExpr(*[f"{exprs[c]} AS {c}" for c in [ORDINAL] + RAW_COLUMNS])

@@ -53,6 +53,21 @@ def test_curve_is_monotone_and_has_the_same_area(scored):
     assert area == pytest.approx(evaluate.roc_auc(scored.filter("g = 'a'")).first()["auc"], abs=1e-5)
 
 
+def test_nothing_is_rounded_before_it_is_compared(spark):
+    best = spark.createDataFrame([("u", "rf", 0.5 - 1e-8)], "account_id string, model string, roc_auc double")
+    group = spark.createDataFrame([("u", 0.5)], "account_id string, auc double")
+    assert not compare.compare_to_group(best, group).first()["individual_preferred"]
+    folds = spark.createDataFrame(
+        [("m", i, f, "roc_auc", x) for i, x in ((0, 0.7), (1, 0.7 + 1e-8)) for f in range(2)],
+        "model string, param_id int, fold int, metric string, estimate double",
+    )
+    assert evaluate.select_best(evaluate.collect_metrics(folds)).first()["param_id"] == 1
+    n = 5001  # an AUC whose seventh digit counts
+    rows = [(1, 0.5)] + [(0, i / n) for i in range(n)]
+    auc = evaluate.roc_auc(spark.createDataFrame(rows, "label int, score double")).first()["auc"]
+    assert auc == pytest.approx(2501 / n, abs=1e-12)
+
+
 def test_class_metrics(scored):
     row = evaluate.class_metrics(scored.filter("g = 'two'")).first()
     assert tuple(row) == (1.0, 1.0, 1.0)

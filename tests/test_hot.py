@@ -90,3 +90,19 @@ def test_auc_with_hot_groups(spark, sf):
     cut = evaluate.auc_ci(scored, [KEY, "model"], limit=1)
     assert sorted(map(str, plain.collect())) == sorted(map(str, cut.collect()))
     assert scored.select(F.col("row_id").alias(ORDINAL)).count() > 0
+
+
+def test_a_burst_inside_one_hour(spark):
+    """A hot hour is cut by second; features don't change, and no part holds the hour."""
+    from diarist.operators.sequence import sequence_features, with_slots
+    from diarist.schema import OUTCOME, TIME
+
+    rows = [(i, "u", f"2024-01-01 10:{i // 60 % 60:02d}:{i % 60:02d}.{i // 3600}", "true" if i % 3 else "false") for i in range(4000)]
+    rows += [(9000 + i, "u", f"2024-01-02 {i:02d}:00:00", "false") for i in range(20)] + [(9999, "v", "2024-01-01 00:00:00", "true")]
+    df = spark.createDataFrame(rows, f"{ORDINAL} long, {KEY} string, t string, {OUTCOME} string").withColumn(
+        TIME, F.col("t").cast("timestamp_ntz")).drop("t")
+    columns = [ORDINAL, "event_nr", "prior_event_lapse", "mins_since_prev_rep", "next_event_lapse", "n_entries", "n_lapses"]
+    whole, cut = (sorted(map(tuple, sequence_features(df, limit=n).select(*columns).collect())) for n in (10_000, 50))
+    assert whole == cut
+    parts = with_slots(df, KEY, TIME, 50).groupBy(KEY, "_slot").count()
+    assert parts.agg(F.max("count")).first()[0] <= 2

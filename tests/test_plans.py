@@ -46,6 +46,7 @@ def test_rows_are_shuffled_once_for_duplicates_and_sequence(spark, sf, tmp_path)
     names = [tuple(re.sub(r"#\d+L?", "", k).split(", ")) for k in wide]
     assert set(names) == {
         ("account_id",), ("account_id", "adjusted_craving_record_created"), ("account_id", "_d0"),
+        ("account_id", "_slot"),
     }
     assert "REPARTITION_BY_COL" in plan_of(df)
 
