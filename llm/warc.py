@@ -16,12 +16,14 @@ make empty archives. Further columns are not written.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from diarist.scratch import materialize
 from llm import text as T
 
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
@@ -30,10 +32,8 @@ RECORD = (
     "record_id string, type string, origin_id string, segment int, total_length long, refers_to string, uri string, "
     "payload_digest string, declared long, block binary"
 )
-PAYLOAD = (
-    "record_id string, type string, refers_to string, uri string, declared_digest string, complete boolean, "
-    "payload binary, payload_bytes long, payload_digest string"
-)
+DECODED = "complete boolean, payload binary, payload_bytes long, found_digest string"
+PAYLOAD = f"record_id string, type string, refers_to string, uri string, payload_digest string, {DECODED}"
 
 
 def digest32(payload: bytes) -> str:
@@ -105,8 +105,8 @@ def page_records(name: str, uri, payload: bytes, digest: str, refers_to, segment
 
 
 def write_archives(pages: DataFrame, path: str, segment_bytes: int = 16_384, chunk_bytes: int = 4096,
-                   records_per_file: int = 2000) -> None:
-    """WARC files of at most ``records_per_file`` records, so of bounded size, in the folder ``path``."""
+                   records_per_file: int = 500) -> None:
+    """Gzipped WARC files of at most ``records_per_file`` records, so of bounded size, in the folder ``path``."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     digest = F.sha1(payload)
     narrow = pages.select("page_id", digest.alias("sha1"))
@@ -128,7 +128,13 @@ def write_archives(pages: DataFrame, path: str, segment_bytes: int = 16_384, chu
 
     rows = rows.select("page_id", "url", "payload", "sha1", "first", "repeat")
     written = rows.mapInArrow(records, "record binary").select(F.col("record").cast("string").alias("value"))
-    written.write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).text(path)
+    out = written.write.option("lineSep", END).option("maxRecordsPerFile", records_per_file)
+    out.option("compression", "gzip").text(path)
+
+
+def plain(content: bytes) -> bytes:
+    """An archive without its compression, be it one gzip member or one for each record."""
+    return gzip.decompress(content) if bytes(content[:2]) == b"\x1f\x8b" else bytes(content)
 
 
 def parse_archive(content: bytes):
@@ -157,33 +163,45 @@ def parse_archive(content: bytes):
         at = head + 4 + declared
 
 
-_RECORD = pa.schema([
+_DECODED = [("complete", pa.bool_()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("found_digest", pa.string())]
+_READ = pa.schema([
     ("record_id", pa.string()), ("type", pa.string()), ("origin_id", pa.string()), ("segment", pa.int32()),
     ("total_length", pa.int64()), ("refers_to", pa.string()), ("uri", pa.string()), ("payload_digest", pa.string()),
-    ("declared", pa.int64()), ("block", pa.binary()),
+    ("declared", pa.int64()), ("block", pa.binary()), *_DECODED,
 ])
 _PAYLOAD = pa.schema([
     ("record_id", pa.string()), ("type", pa.string()), ("refers_to", pa.string()), ("uri", pa.string()),
-    ("declared_digest", pa.string()), ("complete", pa.bool_()), ("payload", pa.binary()), ("payload_bytes", pa.int64()),
-    ("payload_digest", pa.string()),
+    ("payload_digest", pa.string()), *_DECODED,
 ])
 
 
-def read_records(spark: SparkSession, path: str, part_records: int = 256) -> DataFrame:
-    """All records of the archives in a folder. A file is parsed from its beginning, so by one task."""
+def read_records(spark: SparkSession, path: str, part_records: int = 64) -> DataFrame:
+    """All records of the archives in a folder, gzipped or not, as RECORD and PAYLOAD's own columns.
+
+    A file is parsed from its beginning, so by one task. Records that aren't cut are decoded at once and
+    come without ``block``; segments come with it.
+    """
 
     def parse(batches):
         for batch in batches:
             for content in batch.column(0):
                 held = []
-                for record in parse_archive(content.as_buffer().to_pybytes()):
+                for record in parse_archive(plain(content.as_buffer())):
+                    if record["segment"] is None:
+                        record |= decoded(record["block"], len(record["block"]) == record["declared"]) | {"block": None}
                     held.append(record)
                     if len(held) == part_records:
-                        yield pa.RecordBatch.from_pylist(held, _RECORD)
+                        yield pa.RecordBatch.from_pylist(held, _READ)
                         held = []
-                yield pa.RecordBatch.from_pylist(held, _RECORD)
+                yield pa.RecordBatch.from_pylist(held, _READ)
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(parse, f"{RECORD}, {DECODED}")
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(parse, RECORD)
+
+def decoded(block: bytes, complete: bool) -> dict:
+    """What an HTTP message holds."""
+    payload, ok = message(block)
+    return {"complete": complete and ok, "payload": payload, "payload_bytes": len(payload), "found_digest": digest32(payload)}
 
 
 def message(block: bytes) -> tuple[bytes, bool]:
@@ -197,40 +215,38 @@ def message(block: bytes) -> tuple[bytes, bool]:
 
 
 def reassemble(records: DataFrame) -> DataFrame:
-    """One row of PAYLOAD for each record that isn't a continuation; ``complete`` says whether all of it was there.
+    """One row for each record that was cut, from its segments: their origin's columns, and what they hold together.
 
-    Records that aren't cut stay where they are; only segments are shuffled, by their origin.
+    ``complete`` says whether all segments were there, with the declared total length. Only segments are
+    shuffled, by the identifier of their origin.
     """
-    whole = records.where("segment is null").select(
-        "record_id", "type", "refers_to", "uri", "payload_digest", (F.octet_length("block") == F.col("declared")).alias("complete"),
-        F.array("block").alias("blocks"),
-    )
+    columns = ["type", "refers_to", "uri", "payload_digest"]
     cut = records.where("segment is not null").groupBy(F.col("origin_id").alias("record_id")).agg(
-        F.max(F.when(F.col("segment") == 1, F.struct("type", "refers_to", "uri", "payload_digest"))).alias("first"),
+        F.max(F.when(F.col("segment") == 1, F.struct(*columns))).alias("first"),
         F.max("total_length").alias("total"),
         F.array_sort(F.collect_set(F.struct("segment", "block"))).alias("parts"),
     )
     size = F.aggregate("parts", F.lit(0).cast("long"), lambda s, x: s + F.octet_length(x["block"]))
     in_order = F.transform("parts", lambda x: x["segment"]) == F.sequence(F.lit(1), F.size("parts"))
     joined = cut.select(
-        "record_id", "first.type", "first.refers_to", "first.uri", "first.payload_digest",
+        "record_id", *(f"first.{c}" for c in columns),
         F.coalesce(F.col("first").isNotNull() & in_order & (size == F.col("total")), F.lit(False)).alias("complete"),
         F.transform("parts", lambda x: x["block"]).alias("blocks"),
     )
 
     def decode(batches):
         for part in (b.slice(i, 64) for b in batches for i in range(0, b.num_rows, 64)):
-            out = []
-            for row in part.to_pylist():
-                payload, ok = message(b"".join(row["blocks"]))
-                out.append({
-                    "record_id": row["record_id"], "type": row["type"], "refers_to": row["refers_to"], "uri": row["uri"],
-                    "declared_digest": row["payload_digest"], "complete": row["complete"] and ok, "payload": payload,
-                    "payload_bytes": len(payload), "payload_digest": digest32(payload),
-                })
-            yield pa.RecordBatch.from_pylist(out, _PAYLOAD)
+            rows = [{c: r[c] for c in ("record_id", *columns)} | decoded(b"".join(r["blocks"]), r["complete"]) for r in part.to_pylist()]
+            yield pa.RecordBatch.from_pylist(rows, _PAYLOAD)
 
-    return whole.unionByName(joined).mapInArrow(decode, PAYLOAD)
+    return joined.mapInArrow(decode, PAYLOAD)
+
+
+def read_payloads(spark: SparkSession, path: str) -> DataFrame:
+    """PAYLOAD of every record of the archives in a folder, continuations put together with their origin."""
+    records = read_records(spark, path)
+    names = [f.name for f in _PAYLOAD]
+    return records.where("segment is null").select(*names).unionByName(reassemble(records).select(*names))
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -239,19 +255,19 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     A revisit takes its payload's figures from the response. A payload that is incomplete, or whose
     digest isn't the declared one, has null figures.
     """
-    found = reassemble(read_records(spark, path))
-    good = F.col("complete") & (F.col("payload_digest") == F.col("declared_digest"))
+    found = read_payloads(spark, path)
+    good = F.col("complete") & (F.col("payload_digest") == F.col("found_digest"))
     pattern = r"^<urn:x-page:(\d+|-\d+)(?::\d+)?>$"
 
     def page(column):
         number = F.regexp_extract(column, pattern, 1)
         return F.when(number != "", number.cast("long"))
 
-    rows = found.select(
+    rows = materialize(found.select(
         page("record_id").alias("page_id"), F.col("type").alias("record_type"), page("refers_to").alias("refers_to"),
         F.when(good, F.col("payload_bytes")).alias("payload_bytes"),
         F.when(good, F.col("payload_digest")).alias("payload_digest"),
-    )
+    ), "pages-read")
     responses = rows.where("record_type = 'response'")
     kept = responses.select(
         F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("_bytes"), F.col("payload_digest").alias("_digest")
