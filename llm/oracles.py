@@ -75,3 +75,30 @@ SELECT page_id, strlen(payload)::BIGINT AS payload_bytes,
        CASE WHEN page_id != first THEN first END AS refers_to
 FROM bits
 """
+
+ORACLE["op9_suffix_dedup"] = """
+WITH doc AS (
+  SELECT row_number() OVER () AS r, doc_id, hex(coalesce(text, '')) AS h, strlen(coalesce(text, '')) AS n FROM documents
+), string AS (
+  SELECT r, doc_id, s, substr(h, 2 * s + 1, 100) AS w
+  FROM (SELECT r, doc_id, h, unnest(range(0, n - 49)) AS s FROM doc WHERE n >= 50)
+), least AS (
+  SELECT w, min(doc_id) AS first FROM string GROUP BY w
+), hit AS (
+  SELECT r, s FROM string JOIN least USING (w) WHERE doc_id > first
+), begun AS (
+  SELECT r, s, CASE WHEN s <= lag(s) OVER (PARTITION BY r ORDER BY s) + 50 THEN 0 ELSE 1 END AS new FROM hit
+), run AS (
+  SELECT r, min(s) AS a, max(s) + 50 AS b
+  FROM (SELECT r, s, sum(new) OVER (PARTITION BY r ORDER BY s) AS nr FROM begun) GROUP BY r, nr
+), gap AS (
+  SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS since FROM run
+), cut AS (
+  SELECT r, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS upto,
+         string_agg(substr(h, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) AS before
+  FROM gap JOIN doc USING (r) GROUP BY r
+)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(before, '') || substr(h, 2 * coalesce(upto, 0) + 1))) AS kept_sha256
+FROM doc LEFT JOIN cut USING (r)
+"""
