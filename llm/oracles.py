@@ -79,9 +79,12 @@ FROM bits
 ORACLE["op9_suffix_dedup"] = """
 WITH doc AS (
   SELECT row_number() OVER () AS r, doc_id, hex(coalesce(text, '')) AS h, strlen(coalesce(text, '')) AS n FROM documents
+), part AS (
+  SELECT r, doc_id, p, substr(h, 2 * p + 1, 2 * (256 + 49)) AS h
+  FROM (SELECT r, doc_id, h, unnest(range(0, n - 49, 256)) AS p FROM doc WHERE n >= 50)
 ), string AS (
-  SELECT r, doc_id, s, substr(h, 2 * s + 1, 100) AS w
-  FROM (SELECT r, doc_id, h, unnest(range(0, n - 49)) AS s FROM doc WHERE n >= 50)
+  SELECT r, doc_id, p + s AS s, substr(h, 2 * s + 1, 100) AS w
+  FROM (SELECT r, doc_id, p, h, unnest(range(0, least(256, length(h) // 2 - 49))) AS s FROM part)
 ), least AS (
   SELECT w, min(doc_id) AS first FROM string GROUP BY w
 ), hit AS (
