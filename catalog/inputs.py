@@ -145,19 +145,20 @@ def _importance(spark: SparkSession, sf: str) -> DataFrame:
         "mins_since_prev_rep": F.coalesce(F.col("mins_since_prev_rep"), F.lit(0)) / 100000,
     }
     df = sample(spark, sf).select(KEY, OUTCOME, *[c.alias(n) for n, c in indicators.items()])
-    lapse = F.col(OUTCOME) == "true"
+    # One average for each indicator and outcome; conditional averages are more code than Spark compiles.
+    per = df.groupBy(KEY, (F.col(OUTCOME) == "true").alias("_lapse")).agg(
+        F.array(*[F.avg(n) for n in indicators]).alias("_rates")
+    )
+    both = per.groupBy(KEY).agg(
+        F.max(F.when(F.col("_lapse"), F.col("_rates"))).alias("_on"),
+        F.max(F.when(~F.col("_lapse"), F.col("_rates"))).alias("_off"),
+    )
+    names = F.posexplode(F.array(*[F.lit(n) for n in indicators])).alias("_nr", "variable")
     zero = F.lit(0.0)
-    cells = [
-        F.struct(
-            F.lit(n).alias("variable"),
-            F.coalesce(F.avg(F.when(lapse, F.col(n))), zero).alias("on"),
-            F.coalesce(F.avg(F.when(~lapse, F.col(n))), zero).alias("off"),
-        )
-        for n in indicators
-    ]
-    rates = df.groupBy(KEY).agg(F.array(*cells).alias("cells")).select(
-        KEY, F.explode("cells").alias("c")
-    ).select(KEY, "c.*")
+    rates = both.select("*", names).select(
+        KEY, "variable", F.coalesce(F.get("_on", F.col("_nr")), zero).alias("on"),
+        F.coalesce(F.get("_off", F.col("_nr")), zero).alias("off"),
+    )
     by_model = {
         "rf": F.abs(F.col("on") - F.col("off")), "elnet": F.col("on"),
         "svm": F.col("off"), "xgb": (F.col("on") + F.col("off")) / 2,
