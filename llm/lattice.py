@@ -137,7 +137,20 @@ def expected_counts(column, pieces: Pieces) -> np.ndarray:
     return out[:-1]
 
 
-def blocks(docs: DataFrame, part_bytes: int = 8 << 20) -> DataFrame:
+def _words(part: pa.RecordBatch, slice_bytes: int = 1 << 20):
+    """Lower-case bytes of a block's texts, and of each word its bounds, text and hash; in slices, to save memory."""
+    data, found, byte, text = [], [], 0, 0
+    for some in T.slices(part, "text", slice_bytes):
+        own, offsets = T.buffer(some.column("text"))
+        own = T.LOWER[own]
+        starts, ends, texts = T.spans(T.NOT_BLANK[own], offsets)
+        found.append((starts + byte, ends + byte, texts + text, T.span_hash(T.prefix_hash(own), starts, ends)))
+        data.append(own)
+        byte, text = byte + len(own), text + some.num_rows
+    return np.concatenate(data), *(np.concatenate(x) for x in zip(*found))
+
+
+def blocks(docs: DataFrame, part_bytes: int = 4 << 20) -> DataFrame:
     """Written blocks of documents (doc_id, text, held_out): ``words``, how often each is in training, and tokens."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"ids array<{kind}>, held array<boolean>, sizes array<int>, tokens binary, words array<string>, taught array<long>"
@@ -145,10 +158,7 @@ def blocks(docs: DataFrame, part_bytes: int = 8 << 20) -> DataFrame:
     def run(batches):
         for batch in batches:
             for part in T.slices(batch, "text", part_bytes):
-                data, offsets = T.buffer(part.column("text"))
-                data = T.LOWER[data]
-                starts, ends, texts = T.spans(T.NOT_BLANK[data], offsets)
-                hashes = T.span_hash(T.prefix_hash(data), starts, ends)
+                data, starts, ends, texts, hashes = _words(part)
                 _, first, place = np.unique(hashes, return_index=True, return_inverse=True)
                 held = part.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
                 taught = np.bincount(place, weights=~held[texts], minlength=len(first)).astype(np.int64)
@@ -239,12 +249,12 @@ def score(docs: DataFrame, vocabulary: str = VOCABULARY, rounds: int = 2) -> Dat
         sizes = left.column("sizes").combine_chunks().flatten().to_numpy()
         raw = left.column("tokens")[0].as_py()
         tokens = np.frombuffer(pa.decompress(raw, int(sizes.sum()) * 4, codec="zstd"), "<u4") if sizes.sum() else []
+        tokens = np.asarray(tokens, np.int64)
         place = right.column("place").to_numpy()
         c, own = np.zeros(len(place), np.int64), np.zeros(len(place))
         c[place], own[place] = right.column("c").to_numpy(), right.column("score").to_numpy()
         base = np.log10((c + 0.1) / norm)
         of = np.repeat(np.arange(len(sizes)), sizes)
-        tokens = np.asarray(tokens, np.int64)
 
         def per(values):
             return np.bincount(of, weights=values[tokens], minlength=len(sizes))

@@ -79,8 +79,9 @@ def spans(member: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def prefix_hash(data: np.ndarray) -> np.ndarray:
     """Sums that span_hash subtracts; one more than bytes."""
     out = np.zeros(len(data) + 1, U64)
-    np.cumsum(_BYTE[data] * powers(_STEP, len(data)), out=out[1:])
-    return out
+    np.take(_BYTE, data, out=out[1:])
+    out[1:] *= powers(_STEP, len(data))
+    return np.cumsum(out, out=out)
 
 
 def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
