@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from diarist.scratch import materialize
+from diarist.scratch import materialize, scratch_path
 from llm import text as T
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -150,6 +150,17 @@ def _words(part: pa.RecordBatch, slice_bytes: int = 1 << 20):
     return np.concatenate(data), *(np.concatenate(x) for x in zip(*found))
 
 
+def _pack(places: np.ndarray) -> bytes:
+    """Places, small ones first in number, by bytes of equal weight, compressed."""
+    planes = np.ascontiguousarray(places.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return pa.Codec("zstd", compression_level=6).compress(planes, asbytes=True)
+
+
+def _unpack(packed: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.Codec("zstd").decompress(packed, 4 * n), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+
+
 def blocks(docs: DataFrame, part_bytes: int = 4 << 20) -> DataFrame:
     """Written blocks of documents (doc_id, text, held_out): ``words``, how often each is in training, and tokens."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -160,6 +171,10 @@ def blocks(docs: DataFrame, part_bytes: int = 4 << 20) -> DataFrame:
             for part in T.slices(batch, "text", part_bytes):
                 data, starts, ends, texts, hashes = _words(part)
                 _, first, place = np.unique(hashes, return_index=True, return_inverse=True)
+                frequent = np.argsort(-np.bincount(place, minlength=len(first)), kind="stable")
+                rank = np.empty(len(first), np.int64)
+                rank[frequent] = np.arange(len(first))
+                first, place = first[frequent], rank[place]
                 held = part.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
                 taught = np.bincount(place, weights=~held[texts], minlength=len(first)).astype(np.int64)
                 size = ends[first] - starts[first]
@@ -168,7 +183,7 @@ def blocks(docs: DataFrame, part_bytes: int = 4 << 20) -> DataFrame:
                 words = pa.Array.from_buffers(
                     pa.string(), len(first), [None, pa.py_buffer(upto.astype(np.int32)), pa.py_buffer(data[at])]
                 )
-                tokens = pa.compress(place.astype("<u4").tobytes(), codec="zstd", asbytes=True)
+                tokens = _pack(place)
 
                 def one(values):
                     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
@@ -181,7 +196,9 @@ def blocks(docs: DataFrame, part_bytes: int = 4 << 20) -> DataFrame:
                 )
 
     rows = docs.select("doc_id", "text", "held_out").mapInArrow(run, schema)
-    return materialize(rows.withColumn("block", F.monotonically_increasing_id()), "lm-blocks")
+    path = scratch_path(docs.sparkSession, "lm-blocks")
+    rows.withColumn("block", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.parquet(path)
 
 
 def learn_pieces(words: DataFrame, pieces: Pieces, rounds: int = 2, floor: float = 0.01) -> Pieces:
@@ -247,9 +264,7 @@ def score(docs: DataFrame, vocabulary: str = VOCABULARY, rounds: int = 2) -> Dat
     def per_document(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, held = (left.column(c).combine_chunks().flatten() for c in ("ids", "held"))
         sizes = left.column("sizes").combine_chunks().flatten().to_numpy()
-        raw = left.column("tokens")[0].as_py()
-        tokens = np.frombuffer(pa.decompress(raw, int(sizes.sum()) * 4, codec="zstd"), "<u4") if sizes.sum() else []
-        tokens = np.asarray(tokens, np.int64)
+        tokens = _unpack(left.column("tokens")[0].as_py(), int(sizes.sum())) if sizes.sum() else np.zeros(0, np.int64)
         place = right.column("place").to_numpy()
         c, own = np.zeros(len(place), np.int64), np.zeros(len(place))
         c[place], own[place] = right.column("c").to_numpy(), right.column("score").to_numpy()
