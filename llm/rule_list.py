@@ -5,7 +5,7 @@ bad texts: a rule grows by the threshold that gains most until it covers no good
 part, is cut back to the length that does best on the pruning part, and takes its rows away; rules
 follow until one isn't precise enough. The list is a Spark conditional expression over the statistics.
 
-Learning uses at most ``sample_rows`` labelled rows, those of least hash of doc_id. Everything else
+Learning uses the documents of at most ``sample_rows`` labels, those of least hash of doc_id. Everything else
 covers all rows.
 
 Nulls and ties: null texts have no words, labels that are null or without document are not used, and
@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from llm import text as T
+from llm.sampling import least_hashed
 
 COUNTS = [
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_bytes", "n_upper", "n_digits",
@@ -128,12 +129,14 @@ def statistics(docs: DataFrame, part_bytes: int = 4 << 20) -> DataFrame:
 
 def labelled_sample(counted: DataFrame, labels: DataFrame, sample_rows: int):
     """Features and whether the label is bad, of a bounded number of labelled rows."""
-    marks = labels.where("quality is not null and doc_id is not null").select(
+    marks = labels.where("quality is not null and doc_id is not null")
+    few = least_hashed(marks, "doc_id", sample_rows, "quality").select(
         F.col("doc_id").alias("_id"), (F.col("quality") == 0).alias("_bad")
     )
-    rows = counted.select("doc_id", *COUNTS).join(marks, F.col("doc_id") == F.col("_id"))
-    few = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "_bad").limit(sample_rows)
-    got = few.select(*(F.expr(e).alias(f"_{name}") for name, e in FEATURES.items()), "_bad").collect()
+    # At most sample_rows rows of two numbers are broadcast.
+    rows = counted.select("doc_id", *COUNTS).join(F.broadcast(few), F.col("doc_id") == F.col("_id"))
+    got = rows.select("_id", "_bad", *(F.expr(e).alias(f"_{name}") for name, e in FEATURES.items())).collect()
+    got = [[*r[2:], r[1]] for r in sorted(got, key=lambda r: (str(r[0]), *r[1:]))]
     x = np.array([list(r)[:-1] for r in got], float).reshape(-1, len(FEATURES))
     return x, np.array([r[-1] for r in got], bool)
 
