@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from llm import text as T
+from llm.sampling import least_hashed
 
 PASSAGE = 64
 _KINDS = [b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t\x0b\x0c\r", b"\n", b".,;:",
@@ -151,9 +152,7 @@ def held_out(key: str = "doc_id", parts: int = 5, rest: int = 0):
 def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = 4000, sample_passages: int = 64) -> Model:
     """A model of labels.quality from labelled documents that are not held out."""
     usable = labels.where("quality is not null and doc_id is not null").where(~held_out())
-    few = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample_docs).select(
-        F.col("doc_id").alias("_id"), "quality"
-    )
+    few = least_hashed(usable, "doc_id", sample_docs, "quality").select(F.col("doc_id").alias("_id"), "quality")
     # At most sample_docs rows of two numbers are broadcast.
     rows = docs.select("doc_id", "text").join(F.broadcast(few), F.col("doc_id") == F.col("_id"))
 
