@@ -1,0 +1,50 @@
+"""Near copies of the pipeline against brute force."""
+
+import itertools
+import random
+import sys
+from pathlib import Path
+
+sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
+
+from llm import near_copies
+
+
+def prose(rng, n):
+    return [f"w{rng.randrange(50_000)}" for _ in range(n)]
+
+
+def shingles(text, width=5):
+    words = text.lower().split()
+    return {tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
+
+
+def jaccard(a, b):
+    a, b = shingles(a), shingles(b)
+    return len(a & b) / len(a | b)
+
+
+def kept(rows, similar=0.8):
+    """What stays by comparing all pairs: the smallest doc_id of each component."""
+    part = {i: i for i, _ in rows}
+    for (a, one), (b, two) in itertools.combinations(rows, 2):
+        if jaccard(one, two) >= similar and part[a] != part[b]:
+            low, high = sorted((part[a], part[b]))
+            part = {i: low if p == high else p for i, p in part.items()}
+    return sorted(set(part.values()))
+
+
+def run(spark, rows, **options):
+    got = near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), **options)
+    return sorted(r.doc_id for r in got.collect())
+
+
+def test_repeated_lines_do_not_hide_a_copy(spark):
+    rng = random.Random(12)
+    rows = []
+    for g in range(20):
+        text, line = prose(rng, rng.randrange(150, 400)), prose(rng, 12)
+        rows.append((10 * g, " ".join(text + line)))
+        rows.append((10 * g + 1, " ".join(text + line * rng.randrange(8, 30))))
+    assert all(jaccard(rows[i][1], rows[i + 1][1]) > 0.9 for i in range(0, 40, 2))
+    assert run(spark, rows) == kept(rows) == [10 * g for g in range(20)]
