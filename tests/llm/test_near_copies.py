@@ -5,6 +5,8 @@ import random
 import sys
 from pathlib import Path
 
+import pytest
+
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
 from llm import near_copies
@@ -48,3 +50,19 @@ def test_repeated_lines_do_not_hide_a_copy(spark):
         rows.append((10 * g + 1, " ".join(text + line * rng.randrange(8, 30))))
     assert all(jaccard(rows[i][1], rows[i + 1][1]) > 0.9 for i in range(0, 40, 2))
     assert run(spark, rows) == kept(rows) == [10 * g for g in range(20)]
+
+
+@pytest.mark.parametrize("tree_size", [5000, 20])
+def test_similarity_is_exact(spark, tree_size):
+    """Copies of one text and of several, from far below the threshold to far above it."""
+    rng = random.Random(13)
+    rows = []
+    for g in range(40):
+        text = prose(rng, 200)
+        rows.append((100 * g, " ".join(text)))
+        for c in range(1, 60 if g == 0 else 4):
+            copy = list(text)
+            for at in rng.sample(range(0, 200, 5), rng.randrange(2, 8)):  # each lies in five shingles
+                copy[at] = f"new{rng.randrange(10**6)}"
+            rows.append((100 * g + c, " ".join(copy)))
+    assert run(spark, rows, tree_size=tree_size) == kept(rows)
