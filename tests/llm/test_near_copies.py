@@ -66,3 +66,13 @@ def test_similarity_is_exact(spark, tree_size):
                 copy[at] = f"new{rng.randrange(10**6)}"
             rows.append((100 * g + c, " ".join(copy)))
     assert run(spark, rows, tree_size=tree_size) == kept(rows)
+
+
+def test_two_texts_under_one_doc_id(spark):
+    rng = random.Random(14)
+    one, two, three = (prose(rng, 100) for _ in range(3))
+    rows = [(1, " ".join(one)), (5, " ".join(one + ["end"])), (5, " ".join(two)), (7, " ".join(two + ["end"]))]
+    rows += [(9, " ".join(three)), (9, " ".join(three + ["end"]))]
+    got = near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    left = sorted((r.doc_id, r.text.split()[0]) for r in got)
+    assert left == sorted([(1, one[0]), (5, two[0]), (9, three[0])])
