@@ -5,8 +5,8 @@ differ in ``radius`` bits or fewer. The bits are cut into radius + 2 blocks: lin
 in two blocks at least, so every pair of blocks deals fingerprints into groups, and each link lies
 inside a group. A group is held in BK-trees, whose children are keyed by their distance to the parent;
 a search follows only the edges within the radius. A group of more than ``tree_size`` fingerprints is
-cut into several trees in several tasks, and each of its fingerprints searches all of them. A group
-yields the links that join its parts and no more, so a mass of near copies doesn't yield all its pairs.
+cut into slices; a task holds the tree of one slice and the fingerprints of one more, which search it, so
+that each two slices meet in one task and no task holds the group. A group yields the links that join its parts and no more, so a mass of near copies doesn't yield all its pairs.
 Components of the links follow.
 
 Nulls and ties: null and empty texts have fingerprint zero, which links like any other. Equal texts
@@ -163,8 +163,8 @@ def _link_groups(radius: int):
     return run
 
 
-def links(distinct: DataFrame, radius: int = 4, tree_size: int = 20_000) -> DataFrame:
-    """Links ``a``, ``b`` among the distinct ``bits`` that keep all components whole."""
+def deal(distinct: DataFrame, radius: int = 4, tree_size: int = 20_000) -> DataFrame:
+    """Distinct ``bits`` by group (``pair``, ``kept``) and task (``shard``); ``member`` of its tree, or searching it."""
     blocks = radius + 2
     edges = [round(64 * i / blocks) for i in range(blocks + 1)]
     masks = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:])]
@@ -184,10 +184,18 @@ def links(distinct: DataFrame, radius: int = 4, tree_size: int = 20_000) -> Data
         dealt = rows.select("pair", "kept", F.lit(0).alias("shard"), "bits", F.lit(True).alias("member"))
     else:
         known = rows.join(large, ["pair", "kept"], "left").withColumn("shards", F.coalesce("shards", F.lit(1)))
-        dealt = known.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).select(
-            "pair", "kept", "shard", "bits",
-            (F.pmod(F.xxhash64("bits"), F.col("shards")) == F.col("shard")).alias("member"),
+        dealt = known.withColumn("slice", F.pmod(F.xxhash64("bits"), F.col("shards"))).withColumn(
+            "other", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))
+        ).select(
+            "pair", "kept", (F.least("slice", "other") * F.col("shards") + F.greatest("slice", "other")).alias("shard"), "bits",
+            (F.col("slice") <= F.col("other")).alias("member"),
         )
+    return dealt
+
+
+def links(distinct: DataFrame, radius: int = 4, tree_size: int = 20_000) -> DataFrame:
+    """Links ``a``, ``b`` among the distinct ``bits`` that keep all components whole."""
+    dealt = deal(distinct, radius, tree_size)
     grouped = dealt.repartition("pair", "kept", "shard").sortWithinPartitions(
         "pair", "kept", "shard", F.desc("member"), "bits"
     )

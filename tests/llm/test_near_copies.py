@@ -9,7 +9,8 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
-from llm import near_copies
+from llm import near_copies, simhash_bk
+from llm.components import components
 
 
 def prose(rng, n):
@@ -76,3 +77,14 @@ def test_two_texts_under_one_doc_id(spark):
     got = near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     left = sorted((r.doc_id, r.text.split()[0]) for r in got)
     assert left == sorted([(1, one[0]), (5, two[0]), (9, three[0])])
+
+
+def test_no_task_holds_a_large_group(spark):
+    base = 0x0123456789ABCDEF
+    bits = sorted({base ^ (1 << i) ^ (1 << j) for i in range(40, 64) for j in range(40, 64) if i != j} | {base})
+    signed = [b - (1 << 64) if b >> 63 else b for b in bits]
+    distinct = spark.createDataFrame([(b,) for b in signed], "bits long")
+    tasks = simhash_bk.deal(distinct, tree_size=40).groupBy("pair", "kept", "shard").count().agg({"count": "max"}).first()[0]
+    assert len(bits) > 250 and tasks <= 120
+    roots = components(simhash_bk.links(distinct, tree_size=40)).select("root").distinct().count()
+    assert roots == 1
