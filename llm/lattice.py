@@ -236,7 +236,7 @@ def score(docs: DataFrame, vocabulary: str = VOCABULARY, rounds: int = 2) -> Dat
     ends = written.select(F.sum(F.size(F.filter("held", lambda h: ~h)))).first()[0] or 0
     words, distinct, once, two = (int(x or 0) for x in total)
     n, v = words + ends, distinct + (ends > 0)
-    less = once / (once + 2 * two) if once else 0.0
+    less = max(once / (once + 2 * two) if once else 0.0, 0.1)  # the subword paths always have mass
     rest = less * distinct / n if n else 1.0
     pieces = learn_pieces(types.where(known), load_pieces(vocabulary), rounds if words else 0)
     sent = spark.sparkContext.broadcast(pieces)
