@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from diarist.scratch import materialize, scratch_path
 from llm import (
-    cross_parse, lattice, poisson_mix, quality_mil, rule_list, simhash_bk, slots, suffix_dedup, warc, winnow,
+    cross_parse, lattice, ns_bounds, periodic, poisson_mix, quality_mil, rule_list, simhash_bk, slots, suffix_dedup, token_cache,
+    vocabularies, warc, winnow,
 )
 
 QUERIES = {}
@@ -105,3 +106,27 @@ def op3_subword_lattice(spark, sf):
 def op9_suffix_dedup(spark, sf):
     """Strings of 50 bytes that an earlier document has are removed."""
     return suffix_dedup.digests(suffix_dedup.remove_repeats(table(spark, sf, "documents")))
+
+
+@query
+def op11_periodic_runs(spark, sf):
+    """Stretches of words that repeat with a period, in documents of which a tenth have one planted."""
+    docs = table(spark, sf, "documents").select("doc_id", periodic.planted().alias("text"))
+    return periodic.digests(periodic.periodic_runs(docs))
+
+
+@query
+def op12_digest_cache(spark, sf):
+    """Tokens of every document, through a cache that starts empty."""
+    counter = token_cache.Counter(vocabularies.read("word_bpe_49k.json"))
+    counts = token_cache.token_counts(table(spark, sf, "documents"), scratch_path(spark, "token-cache"), counter)
+    return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
+
+
+@query
+def op13_ns_bounds(spark, sf):
+    """Eight clusters of the embeddings."""
+    found, centroids = ns_bounds.cluster_vectors(table(spark, sf, "embeddings"))
+    return ns_bounds.digests(found, centroids).select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"
+    )

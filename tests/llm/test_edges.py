@@ -1,5 +1,6 @@
 """Every operator and stage on odd rows and on no rows."""
 
+import hashlib
 import sys
 from pathlib import Path
 
@@ -10,7 +11,10 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
 import corpus_pipeline
 from diarist.scratch import scratch_path
-from llm import cross_parse, lattice, near_copies, poisson_mix, quality_mil, rule_list, simhash_bk, slots, suffix_dedup, winnow
+from llm import (
+    cross_parse, lattice, near_dedup, ns_bounds, periodic, poisson_mix, quality_mil, rule_list, simhash_bk, slots, suffix_dedup,
+    token_cache, vocabularies, winnow,
+)
 
 
 def _labels(spark, empty):
@@ -43,7 +47,11 @@ CASES = {
     "op8": lambda s, d, e: simhash_bk.near_duplicates(d),
     "op9": lambda s, d, e: suffix_dedup.digests(suffix_dedup.remove_repeats(d)),
     "op10": _rules,
-    "stage8": lambda s, d, e: near_copies.keep_one(d),
+    "op11": lambda s, d, e: periodic.digests(periodic.periodic_runs(d.withColumn("text", periodic.planted()))),
+    "op12": lambda s, d, e: token_cache.token_counts(
+        d, scratch_path(s, "cache"), token_cache.Counter(vocabularies.read("word_bpe_49k.json"))
+    ),
+    "stage8": lambda s, d, e: near_dedup.keep_one(d),
 }
 
 
@@ -75,10 +83,33 @@ def test_odd_rows_defined_results(spark, odd_docs):
     cut = {r.doc_id: r for r in CASES["op9"](spark, odd_docs, False).collect()}
     assert cut[10].n_removed == cut[10].n_bytes and cut[1].n_removed == 0 and cut[2].n_bytes == 0
     assert cut[6].n_removed == cut[5].n_bytes and cut[7].n_removed == 0
+    runs = {r.doc_id: r for r in CASES["op11"](spark, odd_docs, False).collect()}
+    nothing = hashlib.sha256(b"").hexdigest()
+    for i in (2, 3, 4):
+        assert runs[i].n_runs == 0 and runs[i].start is None and runs[i].runs_sha256 == runs[i].collapsed_sha256 == nothing
+    assert runs[8].collapsed_sha256 == hashlib.sha256(b"####").hexdigest()
+    tokens = {r.doc_id: r for r in CASES["op12"](spark, odd_docs, False).collect()}
+    assert tokens[2].n_bytes == tokens[2].n_tokens == tokens[4].n_tokens == 0 and tokens[4].n_bytes == 4 and tokens[7].n_bytes == 600
+    assert tokens[9].n_tokens == tokens[-5].n_tokens == 1 and tokens[1].n_tokens == tokens[10].n_tokens
+
+
+def test_odd_vectors(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(1, [0.5, 0.5]), (1, [0.5, 0.5]), (2, [0.5]), (3, None), (4, [nan, 0.0]), (5, [inf, 0.0]), (6, [None, 0.0]),
+            (None, [9.0, 9.0]), (7, [0.5, 0.5]), (8, [-0.0001, 0.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({c: F.lit(1) for c in ("key", "v", "block", "cluster")})
+    found, centroids = ns_bounds.cluster_vectors(vectors, clusters=8, rounds=3, size=2)
+    got = sorted((str(r.vec_id), r.distance) for r in found.collect())
+    assert got == [("1", 0), ("1", 0), ("7", 0), ("8", 0), ("None", 0)]
+    assert centroids.shape == (5, 2) and [-1, 0] in centroids.tolist()
+    none, centroids = ns_bounds.cluster_vectors(vectors.where("false"), size=2)
+    assert none.count() == 0 and len(centroids) == 0 and ns_bounds.digests(none, centroids).count() == 0
+    with pytest.raises(Exception, match="64 bits"):
+        ns_bounds.cluster_vectors(spark.createDataFrame([(1, [1e30, 0.0])], "vec_id long, embedding array<double>"), size=2)
 
 
 def test_copies_leave_one(spark, odd_docs):
-    rows = near_copies.keep_one(odd_docs)
+    rows = near_dedup.keep_one(odd_docs)
     kept = sorted((r.doc_id is not None, r.doc_id or 0) for r in rows.collect())
     assert rows.columns == odd_docs.columns
     assert [i for known, i in kept if known] == [-5, 1, 2, 5, 7, 8]

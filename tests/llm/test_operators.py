@@ -20,7 +20,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
 from diarist.scratch import scratch_path
 from llm import (
-    cross_parse, lattice, near_copies, poisson_mix, quality_mil, queries, rule_list, simhash_bk, slots, suffix_dedup, warc, winnow,
+    cross_parse, lattice, near_dedup, poisson_mix, quality_mil, queries, rule_list, simhash_bk, slots, suffix_dedup, warc, winnow,
 )
 from llm import text as T
 from llm.components import components
@@ -316,11 +316,6 @@ def test_bk_tree_finds_all():
     for q in values[::20]:
         want = sorted(i for i, v in enumerate(values) if (v ^ q).bit_count() <= 3)
         assert sorted(tree.near(q, 3)) == want
-    found = collections.defaultdict(set)
-    for at, near in near_copies.searches(tree, np.array(values, np.uint64), 3):
-        for i in near:
-            found[int(i)].add(at)
-    assert all(found[i] == set(tree.near(v, 3)) for i, v in enumerate(values))
 
 
 def test_components_of_a_path_and_a_star(spark):
@@ -329,21 +324,35 @@ def test_components_of_a_path_and_a_star(spark):
     assert all(got[i] == 0 for i in range(41)) and all(got[100 + i] == 100 for i in range(30)) and got[500] == 500
 
 
-@pytest.mark.parametrize("tree_size", [5000, 4])
-def test_one_near_copy_stays(spark, tree_size):
+def plain_fingerprint(text):
+    words = WORD.findall(lower(text))
+    grams = [" ".join(words[i : i + 4]) for i in range(max(len(words) - 3, min(len(words), 1)))]
+    hashes = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum((2 * sum(h >> b & 1 for h in hashes) > len(hashes)) << b for b in range(64))
+
+
+@pytest.mark.parametrize("tree_size", [20_000, 4])
+def test_one_of_each_group_stays(spark, tree_size):
     rng = random.Random(6)
-    rows, groups = [], 12
-    for g in range(groups):
+    rows = [(900, None), (901, ""), (902, " \t")]
+    for g in range(12):
         base = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(60, 400))]
-        rows.append((g * 100, " ".join(base)))
-        for c in range(1, 6):  # five words changed in places at most
-            copy = list(base)
-            copy[rng.randrange(len(copy))] = "changed"
-            rows.append((g * 100 + c, " ".join(copy)))
-        half = base[: len(base) // 2] + [f"z{rng.randrange(5000)}" for _ in range(len(base) // 2)]
-        rows.append((g * 100 + 50, " ".join(half)))
-    got = near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), tree_size=tree_size).collect()
-    assert sorted(r.doc_id for r in got) == sorted(g * 100 + k for g in range(groups) for k in (0, 50))
+        rows.append((g * 10, " ".join(base)))
+        for c in range(1, 6):
+            base[rng.randrange(len(base))] = "changed"
+            rows.append((g * 10 + c, " ".join(base)))
+    rows += [(5, "another text under a doc_id that is there already, with words of its own"), rows[3], rows[3]]
+    nodes = sorted({(i, t or "") for i, t in rows})
+    prints = {n: plain_fingerprint(n[1]) for n in nodes}
+    least = {n: n for n in nodes}
+    for _ in nodes:
+        for a, b in itertools.combinations(nodes, 2):
+            if (prints[a] ^ prints[b]).bit_count() <= 4:
+                least[a] = least[b] = min(least[a], least[b])
+    want = sorted(i for (i, _), own in {n: least[n] for n in nodes}.items() if own == (i, _))
+    linked = sum(least[n] != n for n in nodes)
+    got = near_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), tree_size=tree_size).collect()
+    assert sorted(r.doc_id for r in got) == want and linked > 10
 
 
 def test_suffix_array():

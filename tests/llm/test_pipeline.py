@@ -32,8 +32,7 @@ def folder(spark, tmp_path_factory):
         if what == "copy":
             source = next(r for r in reversed(rows) if kind[r[0]] == "clean")
             words = source[1].split()
-            words[-1] = "altered"  # one shingle of five words
-            text = " ".join(words)
+            text = "  ".join(words).upper()  # the same words
         if what == "leak":
             words = text.split()
             text = " ".join(words[:15] + rng.choice(items)[1].split()[2:17] + words[15:])
