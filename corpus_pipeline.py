@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from diarist.scratch import materialize, scratch_path
-from llm import near_copies, poisson_mix, quality_mil, slots, winnow
+from llm import near_dedup, poisson_mix, quality_mil, slots, winnow
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,8 +19,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that of smallest doc_id."""
-    return near_copies.keep_one(docs)
+    """One document of each group whose SimHash fingerprints link at four bits, that of smallest doc_id."""
+    return near_dedup.keep_one(docs, radius=4, width=4)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
