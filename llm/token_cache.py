@@ -28,7 +28,8 @@ from diarist.scratch import materialize
 from llm import text as T
 from llm.word_codes import word_codes
 
-KEPT_WORDS = 1 << 20  # counts of words that a task remembers between batches
+KEPT_WORDS = 1 << 20  # counts of words that a worker remembers between batches
+_LOADED: dict[str, tuple] = {}
 
 
 class Counter:
@@ -40,35 +41,36 @@ class Counter:
         self.vocabulary, self.by_words = vocabulary, by_words
         told = f"tokenizers {tokenizers.__version__}; no added tokens; {'words' if by_words else 'texts'}\n"
         self.version = hashlib.sha256(told.encode() + vocabulary.encode()).hexdigest()
-        self._loaded = None
 
-    def __getstate__(self):
-        return self.__dict__ | {"_loaded": None}
-
-    def _encode(self, texts: list[str]) -> list[int]:
-        if self._loaded is None:
+    def _loaded(self):
+        """The tokenizer and the counts of words that this worker knows; they outlive a task."""
+        if self.version not in _LOADED:
             os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks fill the cores
             from tokenizers import Tokenizer
 
             model = Tokenizer.from_str(self.vocabulary)
             model.no_truncation()
             model.no_padding()
-            self._loaded, self._known = model, {}
-        return [len(e) for e in self._loaded.encode_batch_fast(texts, add_special_tokens=False)]
+            _LOADED[self.version] = model, {}
+        return _LOADED[self.version]
 
     def count(self, column) -> np.ndarray:
         """Tokens of each text of a batch."""
+        model, known = self._loaded()
+
+        def encode(texts):
+            return [len(e) for e in model.encode_batch_fast(texts, add_special_tokens=False)]
+
         if not self.by_words:
-            return np.array(self._encode([t or "" for t in column.to_pylist()]), np.int64)
+            return np.array(encode([t or "" for t in column.to_pylist()]), np.int64)
         words = word_codes(column)
-        spelled = [w.decode() for w in words.known.to_pylist()]
-        if self._loaded is None:
-            self._encode([])
-        new = [w for w in spelled if w not in self._known]
-        if len(self._known) + len(new) > KEPT_WORDS:
-            self._known, new = {}, spelled
-        self._known.update(zip(new, self._encode(new)))
-        each = np.array([self._known[w] for w in spelled], np.int64)
+        spelled = words.known.to_pylist()
+        new = [w for w in spelled if w not in known]
+        if len(known) + len(new) > KEPT_WORDS:
+            known.clear()
+            new = spelled
+        known.update(zip(new, encode([w.decode() for w in new])))
+        each = np.array([known[w] for w in spelled], np.int64)
         total = np.zeros(len(words.codes) + 1, np.int64)
         np.cumsum(each[words.codes], out=total[1:])
         return np.diff(total[words.first])
@@ -94,16 +96,17 @@ def stored(spark: SparkSession, cache: str, version: str) -> DataFrame:
     return found.where(F.col("version") == version).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
 
 
-def token_counts(docs: DataFrame, cache: str, counter: Counter, part_bytes: int = 4 << 20, shared: int = 1000) -> DataFrame:
+def token_counts(docs: DataFrame, cache: str, counter: Counter, part_bytes: int = 8 << 20, shared: int = 1000) -> DataFrame:
     """Per row: ``doc_id``, ``n_bytes`` and ``n_tokens``. ``cache`` is a folder that grows by what was missing."""
     spark = docs.sparkSession
     key = content_key() if counter.by_words else whole_key()
+    who = F.xxhash64("doc_id")  # never null, so the join below is on plain equality and its partitioning serves the copies
     rows = materialize(docs.select(
-        "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), key.alias("content")
+        "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), key.alias("content"), who.alias("who")
     ), "contents")
     # Copies are counted before the shuffle, so a content with a third of all rows is a row for each map task.
     contents = materialize(
-        rows.groupBy("content").agg(F.count(F.lit(1)).alias("rows"), F.min("doc_id").alias("first")), "distinct-contents"
+        rows.groupBy("content").agg(F.count(F.lit(1)).alias("rows"), F.min("who").alias("first")), "distinct-contents"
     )
     missing = materialize(
         contents.join(stored(spark, cache, counter.version), "content", "left_anti").select("content", "first"), "missing"
@@ -115,9 +118,9 @@ def token_counts(docs: DataFrame, cache: str, counter: Counter, part_bytes: int
                 n = counter.count(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("content"), pa.array(n)], ["content", "n_tokens"])
 
-    texts = docs.select(F.col("doc_id").alias("first"), key.alias("content"), "text")
+    texts = docs.select(who.alias("first"), key.alias("content"), "text")
     asked = missing.withColumnsRenamed({"content": "_c", "first": "_f"})
-    asked = texts.join(asked, (F.col("content") == F.col("_c")) & F.col("first").eqNullSafe(F.col("_f")))
+    asked = texts.join(asked, (F.col("content") == F.col("_c")) & (F.col("first") == F.col("_f")))
     if not missing.isEmpty():
         once = asked.dropDuplicates(["content", "first"])  # repeated rows of the chosen document
         counted = once.select("content", "text").mapInArrow(encode, "content binary, n_tokens long")
