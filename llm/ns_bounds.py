@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from diarist.scratch import materialize, remove, scratch_path
 
 LARGEST = 1 << 27
+STATES = "block long, state binary, cluster long, change array<long>"
 
 
 def kept_vectors(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", size: int = 64) -> DataFrame:
@@ -133,7 +134,7 @@ def assign(v: np.ndarray, state: State | None, history: np.ndarray) -> tuple[Sta
 
 
 def _advance(blocks: DataFrame, states: DataFrame | None, history: np.ndarray) -> DataFrame:
-    """New states by block, and a row without block for each task: how sums and counts of the clusters change."""
+    """New states by block; and from each task, a row without block for each cluster whose sums and count change."""
     k, size = history.shape[1:]
     first = states is None
 
@@ -152,15 +153,16 @@ def _advance(blocks: DataFrame, states: DataFrame | None, history: np.ndarray) -
                     if old is not None:
                         change[j] -= one[new & (old == j)].sum(axis=0)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("block").slice(i, 1), pa.array([after.pack()], pa.binary()), pa.array([None], pa.list_(pa.int64()))],
-                    ["block", "state", "change"],
+                    [batch.column("block").slice(i, 1), pa.array([after.pack()], pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int64()))],
+                    ["block", "state", "cluster", "change"],
                 )
+        some = np.flatnonzero(change.any(axis=1))
         yield pa.RecordBatch.from_arrays(
-            [pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([change.ravel().tolist()], pa.list_(pa.int64()))],
-            ["block", "state", "change"],
+            [pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.binary()), pa.array(some), pa.array(change[some].tolist(), pa.list_(pa.int64()))],
+            ["block", "state", "cluster", "change"],
         )
 
-    return _with_state(blocks, states).mapInArrow(run, "block long, state binary, change array<long>")
+    return _with_state(blocks, states).mapInArrow(run, STATES)
 
 
 def _with_state(blocks: DataFrame, states: DataFrame | None) -> DataFrame:
@@ -209,12 +211,14 @@ def cluster_vectors(
     for r in range(rounds):
         before, path = path, scratch_path(spark, f"bounds-{r}")
         _advance(blocks, states, np.stack(history)).write.option("compression", "zstd").parquet(path)
-        states = spark.read.schema("block long, state binary, change array<long>").parquet(path)
+        states = spark.read.schema(STATES).parquet(path)
         if before:
             remove(spark, before)
-        change = states.where("change is not null").select(F.posexplode("change").alias("at", "x"))
-        for at, x in change.groupBy("at").agg(F.sum(F.col("x").cast("decimal(38,0)"))).collect():  # a row for each cluster and component
-            total[at // (size + 1)][at % (size + 1)] += int(x)
+        change = states.where("cluster is not null").groupBy("cluster").agg(
+            F.array(*[F.sum(F.get("change", F.lit(i)).cast("decimal(38,0)")) for i in range(size + 1)]).alias("change")
+        )
+        for row in change.collect():  # one for each cluster
+            total[row.cluster] = [t + int(x) for t, x in zip(total[row.cluster], row.change)]
         history.append(np.array([
             [x // t[-1] for x in t[:-1]] if t[-1] else old for t, old in zip(total, history[-1].tolist())
         ], np.int64))

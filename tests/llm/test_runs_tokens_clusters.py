@@ -240,7 +240,7 @@ def test_vectors_are_not_shuffled(spark):
     vectors = spark.range(5000).select(F.col("id").alias("vec_id"), F.array(*[F.rand(i) for i in range(4)]).alias("embedding"))
     kept = ns_bounds.kept_vectors(vectors, size=4)
     blocks, name, _ = ns_bounds.write_vectors(kept, 1024, rows=256)
-    states = spark.createDataFrame([], "block long, state binary, change array<long>")
+    states = spark.createDataFrame([], ns_bounds.STATES)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         plan = ns_bounds._with_state(blocks, states.repartition(3))._jdf.queryExecution().executedPlan().toString()
