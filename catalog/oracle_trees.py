@@ -1,9 +1,9 @@
 """SQL twins of tree fits small enough for SQL: hashed draws, histograms, best cuts, scores, permuted votes."""
 
-from catalog.oracle import cols, indicators, ranked, with_ctes
+from catalog.oracle import cols, hybrid, indicators, pairwise_auc, ranked, with_ctes
 from catalog.training import FEW
 from diarist.operators.features import NOMINAL
-from diarist.operators.trees import PRIME, RIDGE, STEPS, UNIT, tree_hash
+from diarist.operators.trees import PRIME, RIDGE, STEPS, UNIT
 
 _COLUMNS = indicators(NOMINAL) | {"craving_severity": "craving_severity::DOUBLE"}
 _VALUES = [_COLUMNS[c] for c in FEW]
@@ -12,14 +12,15 @@ _NAMES = "['" + "', '".join(FEW) + "']"
 
 def _tables(trees):
     """Entries by predictor (``fx``), values with their codes and cut points (``val``), and each tree's hash (``own``)."""
-    own = cols(f"({t}, {a}::BIGINT, {b}::BIGINT)" for t, (a, b) in ((t, tree_hash(555, t)) for t in range(trees)))
-    return f"""ent AS (SELECT entry_ordinal, CAST(craving_did_smoke = 'true' AS INT) AS label, [{cols(_VALUES)}] AS vs,
+    digits = "md5(concat('555:tree:', CAST(tree AS VARCHAR)))"
+    return f"""ent AS (SELECT entry_ordinal, account_id, CAST(craving_did_smoke = 'true' AS INT) AS label, [{cols(_VALUES)}] AS vs,
   ('0x' || substr(md5(concat('555:', CAST(entry_ordinal AS VARCHAR))), 1, 12))::BIGINT % {PRIME} AS hashed FROM c20),
  fx AS (SELECT entry_ordinal, label, hashed, unnest(range(5)) AS f, unnest(vs) AS v FROM ent),
  val AS (SELECT f, v, row_number() OVER (PARTITION BY f ORDER BY v) - 1 AS code, (v + lead(v) OVER (PARTITION BY f ORDER BY v)) / 2 AS cut
   FROM (SELECT DISTINCT f, v FROM fx)),
  cx AS (SELECT fx.*, code FROM fx JOIN val USING (f, v)),
- own AS (SELECT * FROM (VALUES {own}) AS o(tree, ha, hb))"""
+ own AS (SELECT tree, 1 + ('0x' || substr({digits}, 1, 12))::BIGINT % {PRIME - 1} AS ha, ('0x' || substr({digits}, 13, 12))::BIGINT % {PRIME} AS hb
+  FROM (SELECT unnest(range({trees})) AS tree))"""
 
 
 def _grown(name, weighed, levels, gain, allowed, tried, keep):
@@ -96,6 +97,33 @@ ORACLE = {
  FROM vote p JOIN vote b ON b.tree = p.tree AND b.j = -1 WHERE p.j >= 0 GROUP BY p.j""",
 }
 
+
+
+def _held_out(moved):
+    """Forests of five trees for each account, of the entries of all others (and the account's own that are ``moved``)."""
+    tables = _tables("(SELECT 5 * count(DISTINCT account_id) FROM c20)")
+    goal = "max(n)" if moved == "false" else "min(n)"
+    return f"""WITH {tables},
+ acc AS (SELECT account_id, draw_rank - 1 AS h FROM {ranked("(SELECT DISTINCT account_id FROM c20)", [], "555:holdout", "account_id")}),
+ hent AS (SELECT e.*, h, {moved} AS moved FROM ent e JOIN (SELECT entry_ordinal, role FROM ({hybrid(0.2)})) q USING (entry_ordinal) JOIN acc USING (account_id)),
+ cls AS (SELECT a.h, t.label, t.n - coalesce(o.n, 0) AS n FROM acc a CROSS JOIN (SELECT label, count(*) AS n FROM ent GROUP BY label) t
+  LEFT JOIN (SELECT h, label, count(*) FILTER (NOT moved) AS n FROM hent GROUP BY h, label) o ON o.h = a.h AND o.label = t.label),
+ mean AS (SELECT h, label, CASE WHEN min(n) OVER (PARTITION BY h) > 0 THEN {goal} OVER (PARTITION BY h) / n::DOUBLE ELSE 1 END AS m FROM cls),
+ thr AS (SELECT h, label, floor(sum(exp(-m + k * ln(m) - lgamma(k + 1))) OVER (PARTITION BY h, label ORDER BY k) * {PRIME}) AS bound
+  FROM mean, (SELECT unnest(range(200)) AS k) WHERE k < 20 + 10 * m),
+ bag AS (SELECT tree, e.entry_ordinal, e.label, count(*) AS n FROM own JOIN hent e ON e.h != tree // 5 OR e.moved
+  JOIN thr ON thr.h = tree // 5 AND thr.label = e.label AND bound <= (hashed * ha + hb) % {PRIME} GROUP BY ALL),
+ {_grown("fo", "(SELECT tree, entry_ordinal, n * (1 - label) AS wa, n * label AS wb, n FROM bag)", 2, _GINI, "true", _pick,
+         "ta + tb > 13 AND ta > 0 AND tb > 0")},
+ fnode AS ({_nodes("fo", 2, "CASE WHEN ta + tb > 0 THEN tb::DOUBLE / (ta + tb) ELSE 0.5 END")}),
+ hs AS (SELECT entry_ordinal, account_id, label, round_even(sum(value) / 5, 9) AS score
+  FROM {_routed("(SELECT e.*, tree FROM hent e JOIN own ON tree // 5 = h WHERE NOT moved)")} GROUP BY ALL)
+ SELECT * REPLACE (round_even(auc, 6) AS auc, round_even(ci_lower, 6) AS ci_lower, round_even(ci_upper, 6) AS ci_upper)
+ FROM ({pairwise_auc("hs", ["account_id"])})"""
+
+
+ORACLE["group_to_individual"] = _held_out("false")
+ORACLE["hybrid_to_individual"] = _held_out("role = 'training'")
 _G = f"{UNIT}.0::DOUBLE"
 _LA, _LB, _RA, _RB = (f"({c} / {_G})" for c in ("la", "lb", "ra", "rb"))
 _GAIN = (f"{_LA} * {_LA} / ({_LB} + {RIDGE}::DOUBLE) + {_RA} * {_RA} / ({_RB} + {RIDGE}::DOUBLE)"
