@@ -158,13 +158,20 @@ def part(train: DataFrame, design: Design, resample: Callable = downsample, writ
 
 
 def recipe_statistics(rows: DataFrame, design: Design, folds: int) -> DataFrame:
-    """(fold, variable, mean, sd) that the scaler of each fold's fit holds; fold -1 is the final fit."""
-    train = rows.filter("split = 'training'")
-    out = []
-    for fold in range(-1, folds):
-        scaler = Pipeline(stages=recipe(design)[:2]).fit(train.filter(F.col("fold") != fold)).stages[1]
-        out += [(fold, c, float(m), float(s)) for c, m, s in zip(design.numeric, scaler.mean, scaler.std)]
-    return rows.sparkSession.createDataFrame(out, "fold int, variable string, mean double, sd double")
+    """(fold, variable, mean, sd) that the scaler of each fold's fit holds; fold -1 is the final fit.
+
+    One pass sums each fold; a fit's statistics are those of all folds but its own. Sums of squares of
+    whole numbers are exact, as long as they stay below 2 ** 53.
+    """
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).alias("x")) for c in design.numeric])).alias("c")
+    sums = rows.filter("split = 'training'").select("fold", cells).groupBy("fold", "c.variable").agg(
+        F.count("c.x").alias("n"), F.sum("c.x").alias("s"), F.sum(F.col("c.x") * F.col("c.x")).alias("q")
+    )  # a row for each fold and variable
+    held = F.explode(F.sequence(F.lit(-1), F.lit(folds - 1))).alias("held")
+    n, s, q = F.col("n"), F.col("s"), F.col("q")
+    return sums.select("*", held).filter("fold != held").groupBy(F.col("held").alias("fold"), "variable").agg(
+        F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q")
+    ).select("fold", "variable", F.try_divide(s, n).alias("mean"), F.sqrt(F.try_divide(q - s * s / n, n - 1)).alias("sd"))
 
 
 def fit(model: str, params: dict, part: Part, max_depth: int = 30, max_iter: int = 100) -> PipelineModel:
