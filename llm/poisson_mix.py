@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from llm.naming import free_names
 from llm.slots import text_bytes
 
 PART = 500.0  # exp(-rate) of a larger rate is too small for a double; such rates are drawn as sums
@@ -66,18 +67,18 @@ def mix(docs: DataFrame, source_rates: DataFrame, seed: int = 17) -> DataFrame:
 
     ``source_rates`` should be a written table: Spark then knows its size, and broadcasts it or not.
     """
-    by = source_rates.select(F.col("source").alias("_source"), "parts", "cdf")
-    own = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
-    keep = [c for c in docs.columns if c not in ("copy", "mix_key")]
-    rows = docs.select(*keep).withColumn("_own", own).join(by, F.col("source").eqNullSafe(F.col("_source")))
-    draws = F.transform(
-        F.sequence(F.lit(1), F.col("parts")),
-        lambda i: F.size(F.filter("cdf", lambda c: c <= hashed(F.lit(str(seed)), F.col("_own"), i.cast("string")))),
-    )
-    count = F.aggregate(draws, F.lit(0), lambda s, x: s + x)
-    copies = rows.withColumn("_count", count).where("_count > 0")
-    copies = copies.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_count"))))
-    key = F.md5(F.concat_ws(":", F.lit(f"{seed}/order"), F.col("_own"), F.col("copy").cast("string")).cast("binary"))
+    keep = [c for c in docs.columns if c.lower() not in ("copy", "mix_key")]
+    of, parts, cdf, own, count = free_names([*keep, "copy", "mix_key"], "_source", "_parts", "_cdf", "_own", "_count")
+    by = source_rates.select(F.col("source").alias(of), F.col("parts").alias(parts), F.col("cdf").alias(cdf))
+    name = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+    rows = docs.select(*keep).withColumn(own, name).join(by, F.col("source").eqNullSafe(F.col(of)))
+    # One number for each part, hashed before it is compared with the entries of the distribution.
+    numbers = F.transform(F.sequence(F.lit(1), F.col(parts)), lambda i: hashed(F.lit(str(seed)), F.col(own), i.cast("string")))
+    draws = F.transform(numbers, lambda u: F.size(F.filter(F.col(cdf), lambda c: c <= u)))
+    total = F.aggregate(draws, F.lit(0), lambda s, x: s + x)
+    copies = rows.withColumn(count, total).where(F.col(count) > 0)
+    copies = copies.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col(count))))
+    key = F.md5(F.concat_ws(":", F.lit(f"{seed}/order"), F.col(own), F.col("copy").cast("string")).cast("binary"))
     keyed = copies.withColumn("mix_key", key).select(*keep, "copy", "mix_key")
     return keyed.repartition("mix_key").sortWithinPartitions("mix_key")
 
