@@ -5,7 +5,8 @@ follow each other, and by how its words repeat. A gated attention, learned with
 from labels of whole documents, weighs the passages; the score is that of the weighted representation.
 
 Learning uses at most ``sample_docs`` labelled documents, those of least hash of doc_id, and of each at
-most ``sample_passages`` passages, spread over the whole text. Scoring reads every passage of every text.
+most ``sample_passages`` passages, spread over the whole text. Where a doc_id has many texts, these are
+cut to ``sample_docs`` by hash as well; equal rows teach once. Scoring reads every passage of every text.
 
 Nulls and ties: null, empty and blank texts have one passage without words. Null labels are not used;
 rows without doc_id have no label and are not held out. Without labels the score is 0.5, with labels of
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from llm import text as T
-from llm.sampling import least_hashed
+from llm.sampling import distinct_texts, least_hashed
 
 PASSAGE = 64
 _KINDS = [b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t\x0b\x0c\r", b"\n", b".,;:",
@@ -149,12 +150,11 @@ def held_out(key: str = "doc_id", parts: int = 5, rest: int = 0):
     return F.coalesce(own, F.lit(False))
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = 4000, sample_passages: int = 64) -> Model:
-    """A model of labels.quality from labelled documents that are not held out."""
+def sampled_passages(docs: DataFrame, labels: DataFrame, sample_docs: int, sample_passages: int) -> list:
+    """Rows (doc_id, quality, x) of ``sample_docs`` labelled texts at most, x the bytes of their passages."""
     usable = labels.where("quality is not null and doc_id is not null").where(~held_out())
     few = least_hashed(usable, "doc_id", sample_docs, "quality").select(F.col("doc_id").alias("_id"), "quality")
-    # At most sample_docs rows of two numbers are broadcast.
-    rows = docs.select("doc_id", "text").join(F.broadcast(few), F.col("doc_id") == F.col("_id"))
+    rows = distinct_texts(docs, few, sample_docs, "quality-sample")
 
     def encode(batches):
         for batch in batches:
@@ -172,7 +172,12 @@ def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = 4000, sample_pa
 
     kind, mark = (few.schema[c].dataType.simpleString() for c in ("_id", "quality"))
     got = rows.select("_id", "quality", "text").mapInArrow(encode, f"doc_id {kind}, quality {mark}, x binary").collect()
-    got = sorted(got, key=lambda r: (str(r.doc_id), r.quality, bytes(r.x)))
+    return sorted(got, key=lambda r: (str(r.doc_id), r.quality, bytes(r.x)))
+
+
+def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = 4000, sample_passages: int = 64) -> Model:
+    """A model of labels.quality from labelled documents that are not held out."""
+    got = sampled_passages(docs, labels, sample_docs, sample_passages)
     each = [np.frombuffer(r.x, np.float32).reshape(-1, WIDTH) for r in got]
     x = np.concatenate(each) if each else np.zeros((0, WIDTH), np.float32)
     return fit(x, np.repeat(np.arange(len(each)), [len(e) for e in each]), np.array([r.quality == 1 for r in got], bool))

@@ -5,12 +5,12 @@ bad texts: a rule grows by the threshold that gains most until it covers no good
 part, is cut back to the length that does best on the pruning part, and takes its rows away; rules
 follow until one isn't precise enough. The list is a Spark conditional expression over the statistics.
 
-Learning uses the documents of at most ``sample_rows`` labels, those of least hash of doc_id. Everything else
-covers all rows.
+Learning uses the documents of at most ``sample_rows`` labels, those of least hash of doc_id; where a doc_id
+has many texts, ``sample_rows`` of them by hash. Everything else covers all rows.
 
 Nulls and ties: null texts have no words, labels that are null or without document are not used, and
-without any bad label the list is empty and keeps all. Repeated rows are judged alike, repeated labels
-count each time. Empty tables give an empty result. Statistics replace columns of the same name.
+without any bad label the list is empty and keeps all. Repeated rows are judged alike, and teach once, as
+do repeated labels. Empty tables give an empty result. Statistics replace columns of the same name.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from diarist.scratch import materialize
 from llm import text as T
 from llm.sampling import least_hashed
 
@@ -135,7 +136,9 @@ def labelled_sample(counted: DataFrame, labels: DataFrame, sample_rows: int):
     )
     # At most sample_rows rows of two numbers are broadcast.
     rows = counted.select("doc_id", *COUNTS).join(F.broadcast(few), F.col("doc_id") == F.col("_id"))
-    got = rows.select("_id", "_bad", *(F.expr(e).alias(f"_{name}") for name, e in FEATURES.items())).collect()
+    rows = rows.select("_id", "_bad", *(F.expr(e).alias(f"_{name}") for name, e in FEATURES.items())).distinct()
+    rows = materialize(rows, "rule-sample")
+    got = least_hashed(rows, rows.columns, sample_rows).collect()
     got = [[*r[2:], r[1]] for r in sorted(got, key=lambda r: (str(r[0]), *r[1:]))]
     x = np.array([list(r)[:-1] for r in got], float).reshape(-1, len(FEATURES))
     return x, np.array([r[-1] for r in got], bool)
