@@ -5,8 +5,9 @@ parsed from left to right into the longest phrases that each language's text hol
 bits that name a place in that text, per byte, is the cross entropy, and the least wins. Parsing starts
 anew every ``CHUNK`` bytes, for all languages alike, so that many chunks are stepped through at once.
 
-Learning uses per language at most ``sample_docs`` documents of least hash, ``doc_chars`` characters of
-each, ``sample_bytes`` bytes in all. ``block`` languages are broadcast at a time, so the tables that a
+Learning uses per language at most ``sample_docs`` distinct texts of least hash. Each is cut, whole, into
+pieces of ``piece`` characters, of which ``doc_pieces`` teach, chosen by hash anywhere in the text; first one
+of every text, then a second, until a language has ``sample_bytes`` bytes. ``block`` languages are broadcast at a time, so the tables that a
 task holds are bounded whatever the number of languages; every document meets every block, whole.
 
 Nulls and ties: null texts and texts without a letter are ``und`` with score 0, as are all without
@@ -128,19 +129,23 @@ class Languages:
         return out
 
 
-def samples(docs: DataFrame, sample_docs: int = 96, doc_chars: int = 2000, sample_bytes: int = 32_768):
+def samples(docs: DataFrame, sample_docs: int = 96, doc_pieces: int = 4, piece: int = 500, sample_bytes: int = 32_768):
     """Labelled text per language, joined by blanks."""
     usable = docs.where("lang is not null and doc_id is not null and text is not null")
-    by = Window.partitionBy("lang").orderBy("_hash", "doc_id")
-    ranked = usable.select("doc_id", "lang", F.xxhash64("doc_id").alias("_hash")).withColumn("_rank", F.row_number().over(by))
-    few = materialize(
-        ranked.where(F.col("_rank") <= sample_docs).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), "_rank"),
-        "language-sample",
-    )
-    own = usable.select("doc_id", "lang", F.substring("text", 1, doc_chars).alias("text"))
-    got = own.join(few, (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("lang", "_rank", "text")
+    usable = usable.select("lang", "text", F.xxhash64("text").alias("_hash"))
+    # Copies go before texts are ranked; ranks above sample_docs go before the shuffle by language.
+    by = Window.partitionBy("lang").orderBy("_hash")
+    ranked = usable.select("lang", "_hash").distinct().withColumn("_rank", F.row_number().over(by))
+    few = materialize(ranked.where(F.col("_rank") <= sample_docs), "language-sample")
+    own = usable.join(few, ["lang", "_hash"]).groupBy("lang", "_hash", "_rank").agg(F.min("text").alias("text"))
+    places = F.sequence(F.lit(0), F.floor((F.greatest(F.length("text"), F.lit(1)) - 1) / piece).cast("int"))
+    drawn = F.slice(F.array_sort(F.transform(
+        places, lambda i: F.struct(F.xxhash64("_hash", i).alias("order"), i.alias("place"))
+    )), 1, doc_pieces)
+    pieces = F.transform(drawn, lambda d: F.substring(F.col("text"), d["place"] * piece + 1, F.lit(piece)))
+    got = own.select("lang", "_rank", F.posexplode(pieces).alias("_turn", "text")).collect()
     out: dict[str, bytes] = {}
-    for row in sorted(got.distinct().collect()):
+    for row in sorted(got, key=lambda r: (r.lang, r._turn, r._rank)):
         held = out.get(row.lang, b"")
         if len(held) < sample_bytes:
             out[row.lang] = (held + letters(pa.array([row.text + "\n"]))[0].tobytes())[:sample_bytes]
