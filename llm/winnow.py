@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from diarist.scratch import materialize
 from llm import text as T
+from llm.naming import free_names
 
 WINDOW, GRAM = 10, 5
 ADDED = "n_words long, spans array<struct<first:int,end:int>>, items array<string>"
@@ -206,21 +207,22 @@ def matches(docs: DataFrame, benchmark: DataFrame, block_words: int = 2_000_000,
         return last
     # Several blocks: keep only documents with hits of each, and merge. Repeated rows have equal hits.
     found = None
-    key = [F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_text")]
+    own, text, own_spans, own_items = free_names(last.columns, "_id", "_text", "_spans", "_items")
+    key = [F.col("doc_id").alias(own), F.xxhash64("text").alias(text)]
     for i, part in enumerate([*parts, last]):
         hit = part.where("size(items) > 0").select(*key, "spans", "items").distinct()
         hit = materialize(hit, f"winnow-{i}")
         found = hit if found is None else found.unionByName(hit)
-    found = found.groupBy("_id", "_text").agg(
-        F.array_sort(F.flatten(F.collect_list("spans"))).alias("_spans"),
-        F.array_distinct(F.flatten(F.collect_list("items"))).alias("_items"),
+    found = found.groupBy(own, text).agg(
+        F.array_sort(F.flatten(F.collect_list("spans"))).alias(own_spans),
+        F.array_distinct(F.flatten(F.collect_list("items"))).alias(own_items),
     )
     both = last.drop("spans", "items").join(
-        found, last.doc_id.eqNullSafe(found._id) & F.xxhash64(last.text).eqNullSafe(found._text), "left"
+        found, F.col("doc_id").eqNullSafe(F.col(own)) & F.xxhash64("text").eqNullSafe(F.col(text)), "left"
     )
-    return both.withColumn("spans", F.coalesce("_spans", F.array().cast("array<struct<first:int,end:int>>"))).withColumn(
-        "items", F.coalesce("_items", F.array().cast("array<string>"))
-    ).drop("_id", "_text", "_spans", "_items")
+    return both.withColumn("spans", F.coalesce(own_spans, F.array().cast("array<struct<first:int,end:int>>"))).withColumn(
+        "items", F.coalesce(own_items, F.array().cast("array<string>"))
+    ).drop(own, text, own_spans, own_items)
 
 
 def report(matched: DataFrame) -> DataFrame:
