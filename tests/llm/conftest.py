@@ -4,7 +4,10 @@ import pytest
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 # Columns whose names the operators use themselves.
-CLASH = ["score", "predicted", "shard", "slot", "copy", "spans", "items", "n_words", "kept", "lang_pred", "node", "block", "size"]
+CLASH = [
+    "score", "predicted", "shard", "slot", "copy", "spans", "items", "n_words", "kept", "lang_pred", "node", "block", "size",
+    "parts", "cdf", "rate", "_own", "_id", "_text", "_hash", "_source", "_count",
+]
 
 
 def words(rng, n, vocabulary=400):

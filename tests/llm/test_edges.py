@@ -1,6 +1,8 @@
 """Every operator and stage on odd rows and on no rows."""
 
 import hashlib
+import math
+import random
 import sys
 from pathlib import Path
 
@@ -93,6 +95,68 @@ def test_odd_rows_defined_results(spark, odd_docs):
     assert tokens[9].n_tokens == tokens[-5].n_tokens == 1 and tokens[1].n_tokens == tokens[10].n_tokens
 
 
+def test_clashing_columns_stay(spark, odd_docs):
+    free = [c for c in odd_docs.columns if c.startswith("_") or c in ("parts", "cdf", "rate")]
+    mixed = poisson_mix.mix_documents(odd_docs, scratch_path(spark, "rates"))
+    assert all(r[c] == "x" for r in mixed.collect() for c in free)
+    found = winnow.matches(odd_docs, _items(spark, False), block_words=8)
+    assert set(free) <= set(found.columns) and all(r[c] == "x" for r in found.collect() for c in free)
+
+
+def test_odd_rows_in_the_mix(spark, odd_docs):
+    """Counts of every row by inversion, said plainly: repeated rows alike, rows without doc_id by their text."""
+    weights = spark.createDataFrame([("a", 3.0), ("b", 1.0), (None, 2.0)], "source string, weight double")
+    got = poisson_mix.mix_documents(odd_docs, scratch_path(spark, "rates"), weights, epochs=3.0).collect()
+    rows = odd_docs.collect()
+    size, share = {}, {"a": 3 / 6, "b": 1 / 6, None: 2 / 6}
+    for r in rows:
+        size[r.source] = size.get(r.source, 0) + len((r.text or "").encode())
+    whole = sum(size.values())
+    want = {}
+    for r in rows:
+        rate = 3 * whole * share.get(r.source, 0) / size[r.source]
+        name = str(r.doc_id) if r.doc_id is not None else hashlib.md5((r.text or "").encode()).hexdigest()
+        n_parts = max(1, math.ceil(rate / poisson_mix.PART))
+        for i in range(1, n_parts + 1):
+            u = int(hashlib.md5(f"17:{name}:{i}".encode()).hexdigest()[:13], 16) / 2**52
+            p = below = math.exp(-rate / n_parts)
+            k = 0
+            while below <= u:
+                k += 1
+                p *= rate / n_parts / k
+                below += p
+            want[name] = want.get(name, 0) + k
+    counts = {}
+    for r in got:
+        name = str(r.doc_id) if r.doc_id is not None else hashlib.md5((r.text or "").encode()).hexdigest()
+        counts[name] = counts.get(name, 0) + 1
+    assert counts == {k: n for k, n in want.items() if n}
+
+
+def test_learning_is_bounded_where_one_doc_id_has_many_rows(spark):
+    docs = spark.range(10_000).select(
+        F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("some text number "), F.col("id").cast("string")).alias("text"),
+        F.lit("en").alias("lang"),
+    ).repartition(4)
+    labels = spark.createDataFrame([(1, 1), (1, 1), (3, 0)], "doc_id long, quality int")
+    assert len(quality_mil.sampled_passages(docs, labels, 2, 64)) == 2
+    assert len(rule_list.labelled_sample(rule_list.statistics(docs), labels, 2)[0]) == 2
+    same = docs.withColumn("text", F.lit("the same text"))
+    assert len(quality_mil.sampled_passages(same, labels, 2, 64)) == 1
+    learned = cross_parse.samples(docs, sample_docs=3)
+    assert learned["en"].count(b"some") == 3
+    assert cross_parse.samples(same)["en"].count(b"same") == 1
+
+
+def test_language_samples_reach_the_end_of_texts(spark):
+    """Texts that open with the same long notice are learned from what follows it."""
+    rng = random.Random(5)
+    notice = "all rights are reserved and nothing here may be copied " * 60
+    rows = [(i, notice + " ".join(f"mot{rng.choice('abcdefgh')}e" for _ in range(2000)), "fr") for i in range(40)]
+    learned = cross_parse.samples(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert learned["fr"].count(b"mot") * 7 > 0.6 * len(learned["fr"]) and len(learned["fr"]) == 32_768
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [0.5, 0.5]), (1, [0.5, 0.5]), (2, [0.5]), (3, None), (4, [nan, 0.0]), (5, [inf, 0.0]), (6, [None, 0.0]),
