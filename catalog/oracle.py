@@ -4,7 +4,7 @@ import re
 
 from diarist.functions.labels import GROUP_RULES, LABEL_RULES, METRIC_LABELS, MODEL_LABELS
 from diarist.operators.features import NOMINAL, NUMERIC, dummy_name
-from diarist.schema import CLEAN_COLUMNS, FLAGS, LEVELS, METRICS, MODELS, RAW_COLUMNS
+from diarist.schema import CLEAN_COLUMNS, FLAGS, LEVELS, METRICS, MODELS, RAW_COLUMNS, TIME
 
 ID = "entry_ordinal, account_id"
 T = "adjusted_craving_record_created"
@@ -271,6 +271,8 @@ SQL = {}
 SQL["scan_diary"] = f"SELECT {cols(RAW_COLUMNS)} FROM raw"
 SQL["write_if_absent"] = 'SELECT account_id, count(*) AS "count" FROM clean GROUP BY account_id'
 SQL["read_clean"] = f"SELECT entry_ordinal, {cols(CLEAN_COLUMNS)} FROM clean"
+SQL["read_clean_bucketed"] = f"""SELECT entry_ordinal, account_id, row_number() OVER (PARTITION BY account_id ORDER BY {TIME}) AS number,
+ count(*) OVER (PARTITION BY account_id) AS entries, count(*) FILTER (craving_did_smoke = 'true') OVER (PARTITION BY account_id) AS lapses FROM clean"""
 SQL["clean_diary"] = (
     f"SELECT entry_ordinal, {cols(CLEAN_COLUMNS)}, next_event_lapse, n_entries, n_lapses FROM clean"
 )

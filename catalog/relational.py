@@ -59,6 +59,15 @@ def read_clean(spark, sf):
     return tables.read_table(spark, path).drop("next_event_lapse", "n_entries", "n_lapses")
 
 
+@query
+def read_clean_bucketed(spark, sf):
+    """Entries numbered and joined to the totals of their accounts, from a table bucketed by account."""
+    path = scratch_path(spark, "clean-bucketed")
+    name = f"clean_{path[-32:]}"
+    tables.write_clean(inputs.live(spark, sf), name, 8, path)
+    return tables.numbered_entries(spark.table(name))
+
+
 @query
 def roc_panels(spark, sf):
     path = scratch_path(spark, "panels")

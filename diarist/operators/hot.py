@@ -3,10 +3,11 @@
 A window over one key sends each group to one task. Here a group with more than ``limit`` rows is
 cut into parts that follow its order, the window runs inside (group, part), and small per-part
 totals carry what lies before and after. Groups below the limit are one part, so ordinary data
-pays one shuffle and one sort.
+pays one shuffle and one sort. Rows without a key are a group like any other.
 """
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +22,18 @@ def hot_keys(df: DataFrame, keys: Sequence[str], limit: int = HOT_ROWS) -> DataF
     return df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > limit).select(*keys)
 
 
+def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys, where null equals null; the keys of ``left`` stay."""
+    named = {k: f"_same_{k}" for k in keys}
+    equal = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(n)) for k, n in named.items()])
+    return left.join(right.withColumnsRenamed(named), equal, how).drop(*named.values())
+
+
+def never_null(key: str) -> Column:
+    """A text that tells keys apart, and null from all of them."""
+    return F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit(""))
+
+
 def mark_parts(
     df: DataFrame, keys: Sequence[str], digits: Sequence[Column], hot: DataFrame | None
 ) -> tuple[DataFrame, list[str]]:
@@ -29,7 +42,7 @@ def mark_parts(
     if hot is None:  # the whole table is one group
         return df.withColumns(dict(zip(names, digits))), names
     flag = hot.withColumn("_hot", F.lit(True))
-    out = df.join(flag, list(keys), "left")
+    out = join_same(df, flag, keys, "left")
     out = out.withColumns({
         n: F.when(F.col("_hot"), d).otherwise(F.lit(_WHOLE)) for n, d in zip(names, digits)
     })
@@ -50,9 +63,12 @@ def running_total(
     rises, so rows of one part follow those of the part before. ``order`` must have no ties inside
     a group. With no ``keys`` the table is one group and is always cut.
     """
-    keys = list(keys)
+    given = df.columns
+    # Keys that are never null, so that plain joins below use the windows' partitioning.
+    plain = {f"_k{i}": never_null(k) for i, k in enumerate(keys)}
+    df = df.withColumns({**plain, **{f"_v_{n}": v for n, v in values.items()}})
+    keys = list(plain)
     hot = hot_keys(df, keys, limit) if keys else None
-    df = df.withColumns({f"_v_{n}": v for n, v in values.items()})
     rows, parts = mark_parts(df, keys, digits, hot)
 
     # Per-part totals of the hot groups, from the finest part up to the whole group.
@@ -94,8 +110,7 @@ def running_total(
         result[f"{n}_before"] = F.coalesce(F.col(f"_in_{n}"), zero) + F.coalesce(F.col(f"_b_{n}"), zero)
         total = F.col(f"_t_{n}")
         result[f"{n}_total"] = total if hot is None else F.coalesce(total, F.col(f"_all_{n}"))
-    keep = [c for c in df.columns if not c.startswith("_v_")]
-    return rows.withColumns(result).select(*keep, *result)
+    return rows.withColumns(result).select(*given, *result)
 
 
 def number_digits(value: Column) -> list[Column]:
@@ -121,7 +136,7 @@ def number_digits(value: Column) -> list[Column]:
 
 def split_hot(df: DataFrame, keys: Sequence[str], hot: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows of the groups that one task can hold, and rows of the hot ones."""
-    return df.join(hot, list(keys), "left_anti"), df.join(hot, list(keys), "left_semi")
+    return join_same(df, hot, keys, "left_anti"), join_same(df, hot, keys, "left_semi")
 
 
 def neighbours(
@@ -178,7 +193,7 @@ def neighbours(
         *([F.lead("_after").over(along).alias("_after")] if following else []),
         *[F.sum(f"_s_{n}").over(across).alias(f"_s_{n}") for n in counts],
     )
-    parts = parts.join(carry, keys + ["_d0"])
+    parts = join_same(parts, carry, keys + ["_d0"])
     first = F.col(number) == 1
     parts = parts.withColumns({
         **{n: F.when(first, F.col(f"_before.e_{n}")).otherwise(F.col(n)) for n in previous},

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from diarist.functions.times import time_diff
 from diarist.operators.filters import first_per_group
-from diarist.operators.hot import HOT_ROWS, hot_keys, neighbours, split_hot
+from diarist.operators.hot import HOT_ROWS, hot_keys, join_same, neighbours, split_hot
 from diarist.schema import KEY, ORDINAL, OUTCOME, TIME
 
 SLOT_SECONDS = 3600  # a hot account is cut into one part per hour, and a hot hour into one per second
@@ -23,7 +23,7 @@ def with_slots(rows: DataFrame, key: str, time: str, limit: int) -> DataFrame:
     busy = hourly.groupBy(key, "_slot").agg(F.count("*").alias("_n")).filter(F.col("_n") > limit)
     busy = busy.select(key, "_slot", F.lit(True).alias("_busy"))
     slot = F.when(F.col("_busy"), time_slot(time, 1)).otherwise(F.col("_slot"))
-    return hourly.join(busy, [key, "_slot"], "left").withColumn("_slot", slot).drop("_busy")
+    return join_same(hourly, busy, [key, "_slot"], "left").withColumn("_slot", slot).drop("_busy")
 
 
 def sequence_features(

@@ -1,11 +1,11 @@
 """Readers and writers."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from diarist.functions.times import parse_time
 from diarist.operators.filters import require
-from diarist.schema import ORDINAL, RAW_COLUMNS, RAW_INTS, RAW_TIMES
+from diarist.schema import KEY, ORDINAL, OUTCOME, RAW_COLUMNS, RAW_INTS, RAW_TIMES, TIME
 
 
 def scan_diary(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
@@ -40,13 +40,27 @@ def write_if_absent(df: DataFrame, path: str) -> None:
     df.write.mode("ignore").parquet(path)
 
 
-def write_clean(df: DataFrame, table: str, buckets: int) -> None:
+def write_clean(df: DataFrame, table: str, buckets: int, path: str | None = None) -> None:
     """Save the clean diary bucketed by account, so later grouping by account needs no shuffle.
 
+    ``path`` is the folder of the table, if it is not to lie in the warehouse.
+
     Choose ``buckets`` so that one bucket is about 1 GB; accounts too large for that belong in a
     plain ``write_table``.
     """
-    df.write.mode("overwrite").bucketBy(buckets, "account_id").sortBy("account_id").saveAsTable(table)
+    writer = df.write.mode("overwrite").bucketBy(buckets, "account_id").sortBy("account_id")
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+
+
+def numbered_entries(clean: DataFrame) -> DataFrame:
+    """Number of each entry within its account, and the account's size and lapses, joined by account.
+
+    Over a table that ``write_clean`` saved, neither the window nor the totals nor the join shuffle.
+    """
+    by = Window.partitionBy(KEY)
+    totals = clean.groupBy(KEY).agg(F.count("*").alias("entries"), F.count_if(F.col(OUTCOME) == "true").alias("lapses"))
+    rows = clean.select(ORDINAL, KEY, TIME).withColumn("number", F.row_number().over(by.orderBy(TIME)).cast("bigint"))
+    return rows.drop(TIME).join(totals.hint("merge"), KEY)
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from catalog import inputs
 from diarist.operators import describe, evaluate, resample
-from diarist.operators.hot import number_digits, running_total
+from diarist.operators.hot import hot_keys, number_digits, running_total, split_hot
+from diarist.operators.sequence import sequence_features
 from diarist.plans.clean import clean_diary
-from diarist.schema import KEY, ORDINAL
+from diarist.schema import KEY, ORDINAL, OUTCOME, TIME
 
 
 @pytest.fixture(scope="module")
@@ -25,6 +26,34 @@ def skewed(spark):
     return spark.createDataFrame(rows, "k string, x double, v int, id bigint")
 
 
+@pytest.mark.parametrize("limit", [10_000, 20, 0])
+def test_rows_without_key_are_cut(spark, skewed, limit):
+    """A third of the rows have no key: cut into parts like any hot group, with the same results."""
+    rows = skewed.withColumn("k", F.when(F.col("k") != "hot", F.col("k")))
+    counts = rows.groupBy("k", "x").agg(F.sum("v").alias("v"))
+    out = running_total(counts, ["k"], number_digits(F.col("x")), ["x"], {"v": F.col("v")}, limit).collect()
+    plain = [r for r in rows.collect() if r["k"] is None]
+    got = {r["x"]: (r["v_before"], r["v_total"]) for r in out if r["k"] is None}
+    assert got == {x: (sum(r["v"] for r in plain if r["x"] < x), sum(r["v"] for r in plain)) for x in {r["x"] for r in plain}}
+    hot = hot_keys(rows, ["k"], limit)
+    ordinary, large = split_hot(rows, ["k"], hot)
+    assert large.filter("k is null").count() == (300 if limit < 300 else 0)
+    assert ordinary.count() + large.count() == 900
+
+
+@pytest.mark.parametrize("limit", [300, 0])
+def test_sequence_of_entries_without_account(spark, limit):
+    rows = spark.range(900).select(
+        F.when(F.col("id") % 3 > 0, F.concat(F.lit("a"), F.col("id") % 40)).alias(KEY), F.col("id").alias(ORDINAL),
+        F.timestamp_add("MINUTE", F.col("id") * 7, F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")).alias(TIME),
+        F.when(F.col("id") % 5 == 0, "true").otherwise("false").alias(OUTCOME),
+    )
+    key = lambda df: sorted(map(str, df.select(sorted(df.columns)).collect()))
+    cut = sequence_features(rows, limit=limit)
+    assert key(cut) == key(sequence_features(rows, limit=10_000))
+    assert [r["event_nr"] for r in cut.filter(F.col(KEY).isNull()).orderBy(ORDINAL).collect()] == list(range(1, 301))
+
+
 @pytest.mark.parametrize("limit", [10_000, 20, 0])
 def test_running_total(skewed, limit):
     counts = skewed.groupBy("k", "x").agg(F.sum("v").alias("v"))

@@ -42,6 +42,9 @@ def test_bucketed_clean_table(spark, sf):
     tables.write_clean(inputs.clean(spark, sf), "clean_bucketed", 4)
     plan = spark.table("clean_bucketed").groupBy("account_id").count()._jdf.queryExecution().executedPlan()
     assert "Exchange" not in plan.toString()
+    numbered = tables.numbered_entries(spark.table("clean_bucketed"))
+    assert "Exchange" not in numbered._jdf.queryExecution().executedPlan().toString()
+    assert numbered.filter("number = entries").count() == spark.table("clean_bucketed").select("account_id").distinct().count()
     spark.sql("DROP TABLE clean_bucketed")
 
 
