@@ -20,6 +20,7 @@ from diarist.operators.compare import complete_accounts
 from diarist.operators.cohort import restrict_to_accounts
 from diarist.operators.evaluate import collect_metrics, metrics_long, select_best
 from diarist.operators.features import INDIVIDUAL_DROPS, NOMINAL
+from diarist.operators.keyed_net import KeyedNets, fit_keyed_nets
 from diarist.operators.resample import draw_ranks
 from diarist.plans import pooled
 from diarist.plans.grid import param_grid
@@ -199,3 +200,37 @@ def individual_models(
     predictions = final.filter("row_id IS NOT NULL").select(KEY, "model", "param_id", "row_id", "label", "score")
     importance = final.filter("variable IS NOT NULL").select(KEY, "model", "variable", "importance")
     return IndividualResult(predictions, importance, unfitted.unionByName(untuned), tuning)
+
+
+@dataclass
+class IndividualNets:
+    """Elastic nets of all accounts, each with the parameter set that is best over its own folds."""
+
+    predictions: DataFrame  # account_id, param_id, row_id, label, score on test rows
+    coefficients: DataFrame  # account_id, param_id, variable, estimate of the chosen model
+    failures: DataFrame  # account_id, hold, param_id, change, reason of models that failed or still moved
+    tuning: DataFrame  # account_id, param_id, metric, mean, n, std_err
+    nets: KeyedNets
+
+
+def individual_nets(
+    sample: DataFrame, design: Design = DESIGN, folds: int = 10, sets: int | None = None, **fit
+) -> IndividualNets:
+    """Elastic nets of single accounts on all their entries, fitted together (``operators/keyed_net``).
+
+    Split and folds are those of ``individual_models``. Classes weigh the same in place of redrawn rows, and every
+    predictor is scaled over the account's training rows. ``fit`` goes to ``fit_keyed_nets``.
+    """
+    names = design.names
+    rows = pooled.prepare(sample, design, folds=folds, keys=[KEY, "craving_did_smoke"])
+    params = param_grid("elnet", len(names), sets, pooled.SEED)
+    nets = fit_keyed_nets(rows, names, KEY, ORDINAL, params, folds, **fit)
+    scores = materialize(nets.scores(), "net-scores")
+    by_fold = metrics_long(scores.where("fold >= 0"), [KEY, "param_id", "fold"])
+    tuning = materialize(collect_metrics(by_fold, [KEY, "param_id"]), "net-tuning")
+    chosen = materialize(select_best(tuning, [KEY]).select(KEY, "param_id"), "net-chosen")
+    tested = scores.where("fold = -1").join(chosen, [KEY, "param_id"])
+    return IndividualNets(
+        tested.select(KEY, "param_id", "row_id", "label", "score"), nets.coefficients().join(chosen, [KEY, "param_id"]),
+        nets.models().where("reason IS NOT NULL"), tuning, nets,
+    )
