@@ -1,5 +1,7 @@
 """Training: learners, pooled, held-out and individual models."""
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.ml.linalg import Vectors
@@ -200,3 +202,26 @@ def test_grid_fills_every_stratum():
         for name, (kind, low, high) in RANGES[model].items():
             if kind == "real":
                 assert sorted(int((p[name] - low) / (high - low) * size) for p in grid) == list(range(size))
+
+
+def test_permutation_scores_only_rows_that_change(spark, sf, result, monkeypatch):
+    """The AUC of every swapped feature is that of all rows scored anew, and each row is scored once."""
+    fitted, seen = result.models["elnet"], spark.sparkContext.accumulator(0)
+    ready = PipelineModel(fitted.stages[:3]).transform(result.train)
+    rows = [(r[pooled.ORDINAL], r["label"], r["features"].toArray()) for r in ready.collect()]
+    rows.sort(key=lambda r: hashlib.md5(f"{pooled.SEED}:permute:{r[0]}".encode()).hexdigest())
+    x, y = np.stack([r[2] for r in rows]), np.array([r[1] for r in rows])
+    last = fitted.stages[-1]
+    odds = lambda z: z @ last.coefficients.toArray() + last.intercept
+    score = F.udf(lambda v: (seen.add(1), v)[1], "double").asNondeterministic()
+    real = pooled.vector_to_array
+    monkeypatch.setattr(pooled, "vector_to_array", lambda c: [None, score(real(c)[1])] if c == "probability" else real(c))
+    got = pooled.permutation_importance(fitted, "elnet", result.train, result.design)
+    got = {r["variable"]: r["importance"] for r in got.collect()}
+    base, donor, moved = learners.auc(y, np.round(odds(x), 12)), np.roll(x, -1, 0), 0
+    for j, name in enumerate(result.design.names):
+        z = x.copy()
+        z[:, j] = donor[:, j]
+        moved += (z[:, j] != x[:, j]).sum()
+        assert got[name] == pytest.approx(base - learners.auc(y, np.round(odds(z), 12)), abs=1e-9), name
+    assert seen.value == len(rows) + moved
