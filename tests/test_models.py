@@ -204,6 +204,28 @@ def test_grid_fills_every_stratum():
                 assert sorted(int((p[name] - low) / (high - low) * size) for p in grid) == list(range(size))
 
 
+def test_parts_hold_what_each_downsample_keeps(spark, sf):
+    """All parts are ranked in one pass; hot classes, null outcomes and repeated rows included."""
+    made = spark.range(400).selectExpr(
+        "id % 390 AS entry_ordinal", "CASE WHEN id % 57 = 0 THEN NULL WHEN id % 4 = 0 THEN 'true' ELSE 'false' END AS craving_did_smoke",
+        "CAST(id % 390 * 7 % 3 AS int) AS fold")
+    own = made.withColumnsRenamed({"entry_ordinal": pooled.ORDINAL, "craving_did_smoke": pooled.OUTCOME})
+    rows = lambda df: sorted(map(str, df.select(own.columns).collect()))
+    parts = pooled.downsample_parts(own, 3)
+    for f in range(4):
+        want = downsample(own.filter(F.col("fold") != f) if f < 3 else own)
+        assert rows(parts.filter(F.array_contains("parts", f))) == rows(want) != []
+
+
+def test_training_rows_are_ranked_once_for_all_parts(spark, sf, monkeypatch):
+    rows = pooled.prepare(inputs.sample(spark, sf), Design(), folds=2).filter("split = 'training'")
+    calls = []
+    monkeypatch.setattr("diarist.operators.resample.draw_ranks", lambda *a, **k: calls.append(a))
+    train = pooled.resampled(rows, 2, Design())
+    assert calls == [] and {*train.whole.rows.columns} == {"label", "features"}
+    train.close()
+
+
 def test_permutation_scores_only_rows_that_change(spark, sf, result, monkeypatch):
     """The AUC of every swapped feature is that of all rows scored anew, and each row is scored once."""
     fitted, seen = result.models["elnet"], spark.sparkContext.accumulator(0)
